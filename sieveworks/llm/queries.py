@@ -6,15 +6,69 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import bpe, rules, simhash
+from sieveworks.llm import bpe, chat, lines, mixing, neighbours, quality, rules, secrets, simhash, urls
 from sieveworks.llm.common import table
 
 
+#: Target weights of the sources; a source not named here shares the weight of "".
+WEIGHTS = {"": 1, "src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2, "src5": 2, **{f"src{i}": 1 for i in range(6, 20)}}
+#: (host, path, verdict)
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs.select("doc_id", "lang", "text"), model).drop("text")
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.trained(spark, docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id",
+        *[secrets.counted("base", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
+        secrets.listed("spans").alias("spans"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.expand(turns))
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedupe(docs, counts=True)
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -32,7 +86,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
+    "op4_urls": op4_urls,
+    "op5_chat": op5_chat,
+    "op6_lines": op6_lines,
+    "op7_neighbours": op7_neighbours,
+    "op8_mixing": op8_mixing,
     "op9_rules": op9_rules,
     "op10_bpe": op10_bpe,
 }
