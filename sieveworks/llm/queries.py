@@ -10,6 +10,7 @@ from sieveworks.llm import bpe, chat, lines, mixing, neighbours, quality, rules,
 from sieveworks.llm.common import table
 
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Target weights of the sources; a source not named here shares the weight of "".
 WEIGHTS = {"": 1, "src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2, "src5": 2, **{f"src{i}": 1 for i in range(6, 20)}}
 #: (host, path, verdict)
@@ -74,7 +75,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    path = public_tokenizers.path(VOCABULARY)
     done = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
     ids = F.concat_ws(",", F.col("token_ids").cast("array<string>"))
     return done.select(
@@ -85,7 +86,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it takes operators and parameters from this package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
