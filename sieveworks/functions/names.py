@@ -103,6 +103,10 @@ def specialty(kind: Column, name: Column) -> Column:
     return out.when(strip(kind) != "", titled(kind)).otherwise("Unknown")
 
 
+def _begins(prefix: str):
+    return lambda m: F.left(m, F.lit(len(prefix))) == prefix
+
+
 def specialty_fits(own: Column, target: str) -> Column:
     """Whether all words of one comma-separated target are among the own words, or share their first seven letters."""
     mine = words(own)
@@ -114,7 +118,7 @@ def specialty_fits(own: Column, target: str) -> Column:
             for w in wanted:
                 hit = F.array_contains(mine, w)
                 if len(w) >= 7:
-                    hit = hit | F.exists(mine, lambda m, w=w: (F.length(m) >= 7) & (F.substring(m, 1, 7) == w[:7]))
+                    hit = hit | F.exists(mine, _begins(w[:7]))
                 one = one & hit
             fits = fits | one
     return (F.size(mine) > 0) & fits

@@ -55,7 +55,7 @@ def subpages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     links = links.where((href != "") & ~href.rlike("^(#|mailto:|tel:|javascript:)"))
     scheme, host = F.regexp_extract("_base", r"^([a-zA-Z]+://)", 1), urls.netloc(c("_base"))
     folder = F.regexp_replace(F.regexp_extract("_base", r"^([^?#]*)", 1), r"(?<=[^/:])/[^/]*$", "/")
-    absolute = F.when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.regexp_replace(scheme, "//$", ""), href)).when(href.startswith("/"), F.concat(scheme, host, href)).otherwise(F.concat(F.regexp_replace(folder, "/?$", "/"), href))
+    absolute = F.when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.regexp_replace(scheme, "//$", ""), href)).when(href.startswith("/"), F.concat(scheme, host, href)).otherwise(F.concat(F.regexp_replace(folder, "/+$", ""), F.lit("/"), href))
     links = links.withColumn("link", F.regexp_replace(F.regexp_replace(absolute, "#.*$", ""), "/+$", ""))
     segments = F.split(F.lower(urls.path(c("link"))), "/")
     links = links.where((urls.netloc(c("link")) == host) & (c("link") != c("_own")) & ~F.arrays_overlap(segments, F.array(*[F.lit(s) for s in K.SKIPPED_SEGMENTS])))

@@ -45,96 +45,86 @@ class SignalDef:
     inhibited_by: str | None = None
 
 
-def of_id(signals: Column, signal_id: str) -> Column:
-    """The last signal with an id; null without one."""
-    return F.try_element_at(F.filter(signals, lambda s: s.signal_id == signal_id), F.lit(-1))
+def _text(x: str | None) -> str:
+    return "cast(null as string)" if x is None else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _signal(d: SignalDef, state: Column, evidence: Column, url: Column, confidence: Column, reason: Column) -> Column:
-    fields = {
-        "signal_id": F.lit(d.signal_id), "signal_label": F.lit(d.signal_label), "signal_state": state, "evidence_text": evidence,
-        "source_url": url, "source_type": F.lit("practice_website"), "confidence": confidence, "positive_weight": F.lit(float(d.positive_weight)),
-        "verification_required": F.lit(d.verification_required), "required_for_bullseye": F.lit(d.required_for_bullseye),
-        "required_for_contender": F.lit(d.required_for_contender), "cap_tier": F.lit(d.cap_tier), "floor_tier": F.lit(d.floor_tier),
-        "exclude_if_yes": F.lit(d.exclude_if_yes), "inhibited_by": F.lit(d.inhibited_by), "state_inferred": F.lit(False),
-        "inferred_from": F.lit(""), "not_found_reason": reason, "analyst_note": F.lit(""),
-    }
-    return F.struct(*[v.alias(k) for k, v in fields.items()]).cast(SIGNAL)
+def _listed(values: Sequence[str]) -> str:
+    return "array(" + ", ".join(map(_text, values)) + ")"
+
+
+def literal(defs: Sequence[SignalDef]) -> str:
+    """Definitions as SQL: one array that is folded into a constant, so that no plan grows with their number."""
+    one = lambda d: "named_struct(" + ", ".join(
+        [f"'{f}', {_text(getattr(d, f))}" for f in ("signal_id", "signal_label", "cap_tier", "floor_tier", "reinforces", "inhibited_by")]
+        + [f"'{f}', {float(getattr(d, f))!r}D" for f in ("positive_weight", "not_found_weight", "no_weight")]
+        + [f"'{f}', {str(getattr(d, f)).lower()}" for f in ("verification_required", "required_for_bullseye", "required_for_contender", "exclude_if_yes")]
+    ) + ")"
+    return "array(" + ", ".join(map(one, defs)) + ")"
+
+
+_STRIP = r"regexp_replace(coalesce({0}, ''), '(?U)^\\s+|\\s+$', '')"
+_MADE = """named_struct('signal_id', d.signal_id, 'signal_label', d.signal_label, 'signal_state', {state}, 'evidence_text', {evidence},
+    'source_url', {url}, 'source_type', 'practice_website', 'confidence', {confidence}, 'positive_weight', d.positive_weight,
+    'verification_required', d.verification_required, 'required_for_bullseye', d.required_for_bullseye,
+    'required_for_contender', d.required_for_contender, 'cap_tier', d.cap_tier, 'floor_tier', d.floor_tier,
+    'exclude_if_yes', d.exclude_if_yes, 'inhibited_by', d.inhibited_by, 'state_inferred', false, 'inferred_from', '',
+    'not_found_reason', {reason}, 'analyst_note', '')"""
 
 
 def empty(defs: Sequence[SignalDef]) -> Column:
     """Every signal unknown for want of text."""
-    return F.array(*[_signal(d, F.lit("not_found"), F.lit(""), F.lit(""), F.lit("low"), F.lit("no_context")) for d in defs])
+    made = _MADE.format(state="'not_found'", evidence="''", url="''", confidence="'low'", reason="'no_context'")
+    return F.expr(f"transform({literal(defs)}, d -> {made})").cast(f"array<{SIGNAL}>")
 
 
-def cleaned(response: Column, defs: Sequence[SignalDef]) -> Column:
-    """One signal for each definition, in their order, from a response's entries: unknown ids go, the last of equal ids counts.
+def cleaned(response: str, defs: Sequence[SignalDef]) -> Column:
+    """One signal for each definition, in their order, from the entries of a column: unknown ids go, the last of equal ids counts.
 
     A yes needs a service attribution (where one is given), a quote that is no placeholder and an http source.
     """
-    out = []
-    for d in defs:
-        r = of_id(response, d.signal_id)
-        state = strip(F.lower(F.coalesce(r.signal_state, F.lit("not_found"))))
-        state = F.when(any_of(state, K.STATES), state).otherwise("not_found")
-        confidence = strip(F.lower(blank(r.confidence)))
-        confidence = F.when(any_of(confidence, K.CONFIDENCES), confidence).otherwise("low")
-        evidence, url, attribution = strip(r.evidence_text), strip(r.source_url), strip(F.lower(blank(r.attribution)))
-        yes = state == "yes"
-        elsewhere = yes & (attribution != "") & ~any_of(attribution, K.SERVICE_ATTRIBUTIONS)
-        unsourced = yes & (any_of(F.lower(evidence), K.MISSING_VALUES) | ~F.lower(url).rlike("^https?://"))
-        fails = elsewhere | unsourced
-        reason = F.when(elsewhere, "attribution_gate").when(unsourced, "evidence_gate").otherwise("")
-        out.append(_signal(d, F.when(fails, "not_found").otherwise(state), F.when(fails, "").otherwise(evidence), F.when(fails, "").otherwise(url), F.when(fails, "low").otherwise(confidence), reason))
-    return F.array(*out)
-
-
-def reinforced(signals: Column, defs: Sequence[SignalDef]) -> Column:
-    """Unknown signals that a confirmed one implies, marked as inferred; of several the last definition names itself."""
-    sources: dict[str, list[str]] = {}
-    for d in defs:
-        if d.reinforces:
-            sources.setdefault(d.reinforces, []).append(d.signal_id)
-    by = F.lit(None).cast("string")
-    if sources:
-        confirmed = F.transform(F.filter(signals, lambda s: s.signal_state == "yes"), lambda s: s.signal_id)
-
-    def one(s: Column) -> Column:
-        found = by
-        for target, ids in sources.items():
-            implied = F.coalesce(*[F.when(F.array_contains(confirmed, i), F.lit(i)) for i in reversed(ids)])
-            found = F.when(s.signal_id == target, implied).otherwise(found)
-        found = F.when(s.signal_state == "not_found", found)
-        return s.withField("state_inferred", found.isNotNull()).withField("inferred_from", F.coalesce(found, F.lit("")))
-
-    return F.transform(signals, one)
-
-
-def _graded(confidence: Column, table: dict[str, float]) -> Column:
-    return F.when(confidence == "high", table["high"]).when(confidence == "medium", table["medium"]).otherwise(table["low"])
-
-
-def scores(signals: Column, defs: Sequence[SignalDef]) -> Column:
+    strip = _STRIP.format
+    fails = "g <> ''"
+    made = _MADE.format(
+        state=f"if({fails}, 'not_found', p.state)", evidence=f"if({fails}, '', p.evidence)", url=f"if({fails}, '', p.url)",
+        confidence=f"if({fails} or not array_contains({_listed(K.CONFIDENCES)}, p.confidence), 'low', p.confidence)", reason="g",
+    )
+    # Arrays of one element bind what is used more than once.
+    sql = f"""transform({literal(defs)}, d -> transform(array(try_element_at(filter({response}, r -> r.signal_id = d.signal_id), -1)), r ->
+        transform(array(named_struct('state', lower({strip("r.signal_state")}), 'confidence', lower({strip("r.confidence")}), 'evidence', {strip("r.evidence_text")},
+            'url', {strip("r.source_url")}, 'attribution', lower({strip("r.attribution")}))), q ->
+        transform(array(named_struct('state', if(array_contains({_listed(K.STATES)}, q.state), q.state, 'not_found'), 'confidence', q.confidence, 'evidence', q.evidence, 'url', q.url, 'attribution', q.attribution)), p ->
+        transform(array(case when p.state <> 'yes' then '' when p.attribution <> '' and not array_contains({_listed(K.SERVICE_ATTRIBUTIONS)}, p.attribution) then 'attribution_gate'
+            when array_contains({_listed(K.MISSING_VALUES)}, lower(p.evidence)) or not lower(p.url) rlike '^https?://' then 'evidence_gate' else '' end), g -> {made})[0])[0])[0])[0])"""
+    return F.expr(sql).cast(f"array<{SIGNAL}>")
+
+
+def reinforced(signals: str, defs: Sequence[SignalDef]) -> Column:
+    """Unknown signals of a column that a confirmed one implies, marked as inferred; of several the last definition names itself."""
+    implied = [d for d in defs if d.reinforces]
+    by = f"""if(s.signal_state = 'not_found', try_element_at(filter({literal(implied)}, d -> d.reinforces = s.signal_id and exists({signals}, x -> x.signal_id = d.signal_id and x.signal_state = 'yes')), -1).signal_id, cast(null as string))""" if implied else "cast(null as string)"
+    kept = [f for f in (x.split(":")[0] for x in SIGNAL[7:-1].split(",")) if f not in ("state_inferred", "inferred_from", "not_found_reason", "analyst_note")]
+    made = ", ".join(f"'{f}', s.{f}" for f in kept)
+    return F.expr(f"transform({signals}, s -> transform(array({by}), b -> named_struct({made}, 'state_inferred', b is not null, 'inferred_from', coalesce(b, ''), 'not_found_reason', s.not_found_reason, 'analyst_note', s.analyst_note))[0])")
+
+
+def _graded(table: dict[str, float], kind: str = "D") -> str:
+    return f"case s.confidence when 'high' then {float(table['high'])}{kind} when 'medium' then {float(table['medium'])}{kind} else {float(table['low'])}{kind} end"
+
+
+def scores(signals: str, defs: Sequence[SignalDef]) -> Column:
     """``struct<bullseye_score, fit_signal_score, confidence_score int>``; sums go in the definitions' order, rounding is half to even."""
-    most, achieved, points, counted = 0.0, F.lit(0.0), F.lit(0.0), F.lit(0)
-    for d in defs:
-        w, s = float(d.positive_weight), of_id(signals, d.signal_id)
-        state = F.coalesce(s.signal_state, F.lit("not_found"))
-        yes, inferred = state == "yes", (state == "not_found") & F.coalesce(s.state_inferred, F.lit(False))
-        gain = F.when(yes, F.lit(w) * _graded(s.confidence, K.CONFIDENCE_CREDIT))
-        counts = yes
-        if w >= 0:
-            most += w
-            gain = gain.when(inferred, w * K.INFERENCE_CREDIT).when(state == "not_found", float(d.not_found_weight)).when(state == "no", float(d.no_weight))
-            counts = yes | inferred
-        achieved = achieved + gain.otherwise(0.0)
-        points = points + F.when(yes, _graded(s.confidence, K.CONFIDENCE_POINTS).cast("double")).when(counts, float(K.INFERENCE_POINTS)).otherwise(0.0)
-        counted = counted + counts.cast("int")
-    clamp = lambda x: F.greatest(F.lit(0), F.least(F.lit(100), x.cast("int")))
-    fit = clamp(F.rint(achieved / F.lit(most) * 100)) if most > 0 else F.lit(K.NEUTRAL_FIT)
-    confidence = F.when(counted > 0, F.rint(points / F.when(counted > 0, counted)).cast("int")).otherwise(K.NO_SIGNAL_CONFIDENCE)
-    final = clamp(F.rint(K.FIT_WEIGHT * fit + K.CONFIDENCE_WEIGHT * confidence))
-    return F.struct(final.alias("bullseye_score"), fit.alias("fit_signal_score"), confidence.alias("confidence_score"))
+    w, yes, inferred = "d.positive_weight", "s.signal_state = 'yes'", "s.signal_state = 'not_found' and s.state_inferred"
+    gain = f"""case when {yes} then {w} * {_graded(K.CONFIDENCE_CREDIT)} when {w} < 0 then 0D when {inferred} then {w} * {K.INFERENCE_CREDIT}D
+        when s.signal_state = 'no' then d.no_weight else d.not_found_weight end"""
+    points = f"case when {yes} then {_graded(K.CONFIDENCE_POINTS)} when {w} >= 0 and {inferred} then {float(K.INFERENCE_POINTS)}D end"
+    fold = f"""aggregate({literal(defs)}, named_struct('most', 0D, 'got', 0D, 'points', 0D, 'n', 0D), (a, d) ->
+        transform(array(try_element_at(filter({signals}, x -> x.signal_id = d.signal_id), -1)), s -> transform(array({points}), p -> named_struct(
+            'most', a.most + if({w} >= 0, {w}, 0D), 'got', a.got + {gain}, 'points', a.points + coalesce(p, 0D), 'n', a.n + if(p is null, 0D, 1D)))[0])[0],
+        a -> named_struct('fit', if(a.most > 0, rint(a.got / nullif(a.most, 0D) * 100), {K.NEUTRAL_FIT}D), 'confidence', if(a.n > 0, rint(a.points / nullif(a.n, 0D)), {K.NO_SIGNAL_CONFIDENCE}D)))"""
+    final = f"""transform(array({fold}), x -> transform(array(cast(greatest(0D, least(100D, x.fit)) as int)), f -> named_struct(
+        'bullseye_score', cast(greatest(0D, least(100D, rint({K.FIT_WEIGHT}D * f + {K.CONFIDENCE_WEIGHT}D * x.confidence))) as int), 'fit_signal_score', f, 'confidence_score', cast(x.confidence as int)))[0])[0]"""
+    return F.expr(final)
 
 
 def band(confidence: Column) -> Column:

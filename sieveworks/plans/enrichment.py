@@ -46,8 +46,8 @@ def required(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def scored(records: DataFrame, defs: Sequence[S.SignalDef]) -> DataFrame:
     """Records with inferred signals and the scores that follow."""
-    out = records.withColumn("signals", S.reinforced(F.col("signals"), defs))
-    s = S.scores(F.col("signals"), defs)
+    out = records.withColumn("signals", S.reinforced("signals", defs))
+    s = S.scores("signals", defs)
     out = out.withColumn("_s", s).withColumns({x: F.col(f"_s.{x}") for x in ("bullseye_score", "fit_signal_score", "confidence_score")}).drop("_s")
     return out.withColumns({"fit_confidence_status": S.quadrant(F.col("fit_signal_score"), F.col("confidence_score")), "confidence_band": S.band(F.col("confidence_score"))})
 
@@ -56,8 +56,9 @@ def signalled(records: DataFrame, responses: DataFrame, defs: Sequence[S.SignalD
     """Records with signals: unknown where there is too little text, else from ``responses`` (id, response), cleaned."""
     thin = F.length(F.regexp_replace(F.coalesce("context_text", F.lit("")), r"(?U)^\s+|\s+$", "")) < K.LEAST_CONTEXT
     both = records.drop("signals").join(responses.select("id", F.col("response").cast(S.RESPONSE).alias("_response")), "id", "left")
+    both = both.withColumn("_entries", F.coalesce("_response", F.array().cast(S.RESPONSE)))
     status = F.when(thin | F.col("_response").isNotNull(), "complete").otherwise("failed")
-    return both.withColumns({"signals": F.when(thin, S.empty(defs)).otherwise(S.cleaned(F.coalesce("_response", F.array().cast(S.RESPONSE)), defs)), "enrichment_status": status}).drop("_response")
+    return both.withColumns({"signals": F.when(thin, S.empty(defs)).otherwise(S.cleaned("_entries", defs)), "enrichment_status": status}).drop("_response", "_entries")
 
 
 def enriched(records: DataFrame, responses: DataFrame, defs: Sequence[S.SignalDef], config: rules.RunConfig, customers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +93,7 @@ def simulated(spark: SparkSession, defs: Sequence[S.SignalDef], config: rules.Ru
     rows = [(dict(zip(ids, combo, strict=True)),) for combo in product(*states.values())]
     grid = spark.createDataFrame(rows, "states map<string,string>")
     raw = F.array(*[F.struct(F.lit(d.signal_id).alias("signal_id"), F.coalesce(F.try_element_at("states", F.lit(d.signal_id)), F.lit("not_found")).alias("signal_state"), F.lit("simulated").alias("evidence_text"), F.lit("https://example.com").alias("source_url"), F.lit(confidence).alias("confidence"), F.lit("").alias("attribution")) for d in defs])
-    made = shaped(grid.withColumn("signals", S.cleaned(raw, defs)).withColumns({"enrichment_status": F.lit("complete"), "source_confidence": F.lit("complete")}))
+    made = shaped(grid.withColumn("_entries", raw.cast(S.RESPONSE)).withColumn("signals", S.cleaned("_entries", defs)).withColumns({"enrichment_status": F.lit("complete"), "source_confidence": F.lit("complete")}))
     return rules.decided(scored(made, defs), config).select("states", "bullseye_score", "fit_signal_score", "confidence_score", "exclusion_status", "target_tier", "tier_cap_reason")
 
 
