@@ -122,7 +122,7 @@ def plan(docs: DataFrame, weights: Mapping[str, int], source: str = "source", do
     blocked = numbered.withColumn("block", F.floor(F.col("_number") / block).cast("long"))
     t = F.broadcast(table).alias("t")
     timed = blocked.join(t, F.expr("_source = t.source and block >= t.first and block < t.end"))
-    slotted = timed.withColumn("slot", F.expr("start + floor((block - first) / weight) * period + slots[cast((block - first) % weight as int)]").cast("long"))
+    slotted = timed.withColumn("slot", F.expr("t.start + floor((block - t.first) / t.weight) * t.period + t.slots[cast((block - t.first) % t.weight as int)]").cast("long"))
     return slotted.select(*[numbered[c] for c in docs.columns], "block", "slot", F.expr(f"cast(slot * {block} + _number % {block} - ({missing}) as bigint)").alias("position"))
 
 

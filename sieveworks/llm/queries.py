@@ -106,5 +106,53 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
+_WORD = "[^\\x20\\x09-\\x0D]"
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+_CONTROLS = "[<\\[]\\\\*(s>|/s>|INST\\]|/INST\\]|SYS\\]|/SYS\\]|REPLY\\]|ROLE:|/ROLE\\])"
+
 #: DuckDB SQL with the same columns and rows.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_urls": f"""
+        WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1, 's')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM r),
+        rules(h, pre, verdict) AS (VALUES {_RULES}),
+        m AS (SELECT page_id, h || pre AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || pre) DESC, length(h) DESC) AS n
+              FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre))
+        SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id AND n = 1""",
+    "op5_chat": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        t AS (SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROLS}')) + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 12 ELSE 16 + 2 * octet_length(encode(role)) END AS size,
+              row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS final FROM c),
+        s AS (SELECT *, 3 + sum(size) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS chars FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          (sum(chars) FILTER (role = 'assistant' OR final))::BIGINT AS formatted_chars FROM s GROUP BY 1""",
+    "op6_lines": """
+        WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+        w AS (SELECT doc_id, i, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS k FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) > 2)),
+        later AS (SELECT doc_id, i FROM w WHERE regexp_matches(k, '\\S') QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + j AS i FROM later, (VALUES (0), (1), (2)) t(j)),
+        lines AS (SELECT doc_id, l[i] AS line, i FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+        kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM lines ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+        cut AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(cut.n, 0) AS n_removed
+        FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)""",
+    "op7_neighbours": """
+        WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
+                   FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20""",
+    "op9_rules": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+        r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) t(j) WHERE n > 1 GROUP BY 1),
+        c AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines, len(list_distinct(ws)) AS different,
+                len(regexp_extract_all(text, '!')) AS calls, len(regexp_extract_all(text, '[A-Z]')) AS upper_, len(regexp_extract_all(text, '[A-Za-z]')) AS letters,
+                len(list_filter(ws, lambda x: regexp_full_match(x, '[0-9#*$%&|<>!.,;:+=/()\\[\\]{{}}"''-]+'))) AS bare FROM w LEFT JOIN r USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          NOT base_failed AND NOT (n_symbols > 0.5 * n_words OR calls > 0.5 * n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR n_dup_lines > 0.4 * n_lines
+            OR upper_ > 0.5 * letters OR different < least(0.1 * n_words, 30) OR bare > 0.4 * n_words) AS kept FROM b""",
+}

@@ -64,7 +64,7 @@ def samples(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     spark = docs.sparkSession
     good = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("_good")).distinct()
     good = good.orderBy(F.xxhash64("_good"), "_good").limit(SAMPLE_DOCS)  # a proven bound
-    chosen = docs.join(F.broadcast(good), docs[doc_id] == F.col("_good"), "left_semi").select(F.expr(f"regexp_extract_all(`{text}`, '[A-Za-z0-9_]{{2,}}', 0)").alias("w"))
+    chosen = docs.join(F.broadcast(good), docs[doc_id] == good["_good"], "left_semi").select(F.expr(f"regexp_extract_all(`{text}`, '[A-Za-z0-9_]{{2,}}', 0)").alias("w"))
     words = chosen.select(F.explode(F.expr("concat(w, transform(slice(w, 2, size(w)), (x, i) -> concat(w[i], '_', x)), transform(slice(w, 2, size(w)), (x, i) -> concat(w[i], '-', x)), transform(slice(w, 2, size(w)), (x, i) -> concat(w[i], initcap(x))))")).alias("value"))
     runs = spark.range(40).select(F.explode(F.array(*[F.expr(f"repeat('{c}', cast(id as int) + 20)") for c in "-_=+/"])).alias("value"))
     digest = F.sha2(F.col("id").cast("string"), 256)

@@ -191,7 +191,7 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """The rows of ``docs`` whose id is their component's; of rows with one id, one stays; rows with a null id stay."""
     kept = materialize(components(docs, doc_id, text).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     ids = kept.select(F.col("doc_id").alias("_kept"))
-    out = docs.join(ids.hint("shuffle_hash"), docs[doc_id] == F.col("_kept"), "left_semi")
+    out = docs.join(ids.hint("shuffle_hash"), docs[doc_id] == ids["_kept"], "left_semi")
     if not kept.where("n > 1").isEmpty():
         out = out.dropDuplicates([doc_id])
     return out.unionByName(docs.where(docs[doc_id].isNull()))
