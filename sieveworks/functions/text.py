@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from sieveworks.constants import QUOTE_CHARS
 
 
+#: White space as Python's strip() sees it.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def blank(x: Column) -> Column:
     """Null as the empty string."""
     return F.coalesce(x.cast("string"), F.lit(""))
@@ -17,7 +21,7 @@ def blank(x: Column) -> Column:
 
 def strip(x: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(blank(x), r"(?U)^\s+|\s+$", "")
+    return F.trim(blank(x), F.lit(WHITE))
 
 
 def collapse(x: Column) -> Column:

@@ -1,14 +1,20 @@
-"""Connected components by alternating star contractions, without a driver-side graph."""
+"""Connected components without a driver-side graph: one task where edges are few, alternating star contractions beyond."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges that one task joins; it holds them in some tens of megabytes.
+ONE_TASK = 300_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -31,9 +37,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, root`` for edges ``a, b``: the least node that a node reaches."""
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Roots of all edges of one task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(root.setdefault(u, u)), find(root.setdefault(v, v))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    found = [(x, find(x)) for x in root]
+    ends = [(x, r) for x, r in found if x != r]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], pa.int64()), pa.array([r for _, r in ends], pa.int64())], names=["node", "root"])
+
+
+def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+    """``node, root`` for edges ``a, b``: the least node that a node reaches. Nodes are long; a root has no row of its own.
+
+    Up to ``one_task`` edges are joined in one task of an executor; more of them by rounds over all tasks.
+    """
     stars = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    if stars.count() <= one_task:
+        return stars.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_forest, "node long, root long")
     last = None
     for _ in range(rounds):
         both = stars.union(stars.select("v", "u"))

@@ -117,17 +117,15 @@ def scored(pairs: DataFrame, noise: list[str]) -> DataFrame:
     return out.select("a", "b", score.alias("score"), matched.alias("matched"))
 
 
-def _building(zip5: str, street: str, unit: str) -> tuple[str, str, str] | None:
-    return (zip5, street, unit) if unit and street else None
+Units = dict[str, set[tuple[str, str]]]  # of a cluster: by street, ZIP and unit
 
 
-def _collide(units: set[tuple[str, str, str]]) -> bool:
-    by_street: dict[str, list[tuple[str, str]]] = {}
-    for zip5, street, unit in units:
-        for other_zip, other in by_street.setdefault(street, []):
-            if other != unit and not (zip5 and other_zip and zip5 != other_zip):
+def _collide(few: Units, many: Units) -> bool:
+    """Whether a unit of one cluster and a unit of the other stand in one building and differ."""
+    for street, units in few.items():
+        for zip5, unit in units:
+            if any(other != unit and not (zip5 and other_zip and zip5 != other_zip) for other_zip, other in many.get(street, ())):
                 return True
-        by_street[street].append((zip5, unit))
     return False
 
 
@@ -135,11 +133,11 @@ def _unions(edges: pd.DataFrame) -> pd.DataFrame:
     """Apply one component's edges, strongest first; ``applied`` tells which ones the unit rule let through."""
     edges = edges.sort_values(["score", "sig_a", "sig_b"], ascending=[False, True, True])
     root: dict[int, int] = {}
-    units: dict[int, set] = {}
+    units: dict[int, Units] = {}
     for e in edges.itertuples():
-        for row, unit in ((e.a, _building(e.zip_a, e.street_a, e.unit_a)), (e.b, _building(e.zip_b, e.street_b, e.unit_b))):
+        for row, zip5, street, unit in ((e.a, e.zip_a, e.street_a, e.unit_a), (e.b, e.zip_b, e.street_b, e.unit_b)):
             root.setdefault(row, row)
-            units.setdefault(row, {unit} if unit else set())
+            units.setdefault(row, {street: {(zip5, unit)}} if unit and street else {})
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -150,11 +148,13 @@ def _unions(edges: pd.DataFrame) -> pd.DataFrame:
     applied = []
     for e in edges.itertuples():
         a, b = find(e.a), find(e.b)
-        ok = a == b or not _collide(units[a] | units[b])
+        few, many = (a, b) if len(units[a]) <= len(units[b]) else (b, a)
+        ok = a == b or not _collide(units[few], units[many])
         if ok and a != b:
-            low, high = min(a, b), max(a, b)
-            root[high] = low
-            units[low] |= units[high]
+            # The cluster with more streets takes the other in, so that a unit moves a logarithmic number of times.
+            root[few] = many
+            for street, own in units.pop(few).items():
+                units[many].setdefault(street, set()).update(own)
         applied.append(ok)
     out = edges[["a", "b"]].assign(applied=applied)
     out["cluster_a"], out["cluster_b"] = [find(x) for x in out["a"]], [find(x) for x in out["b"]]

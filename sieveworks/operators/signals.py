@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sieveworks import constants as K
 from sieveworks.functions import names
-from sieveworks.functions.text import any_of, blank, strip
+from sieveworks.functions.text import WHITE, any_of, blank, strip
 
 SIGNAL = (
     "struct<signal_id:string,signal_label:string,signal_state:string,evidence_text:string,source_url:string,source_type:string,"
@@ -63,7 +63,7 @@ def literal(defs: Sequence[SignalDef]) -> str:
     return "array(" + ", ".join(map(one, defs)) + ")"
 
 
-_STRIP = r"regexp_replace(coalesce({0}, ''), '(?U)^\\s+|\\s+$', '')"
+_STRIP = f"trim(BOTH '{WHITE}' FROM coalesce({{0}}, ''))"
 _MADE = """named_struct('signal_id', d.signal_id, 'signal_label', d.signal_label, 'signal_state', {state}, 'evidence_text', {evidence},
     'source_url', {url}, 'source_type', 'practice_website', 'confidence', {confidence}, 'positive_weight', d.positive_weight,
     'verification_required', d.verification_required, 'required_for_bullseye', d.required_for_bullseye,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveworks import constants as K
+from sieveworks.functions.text import strip
 from sieveworks.operators import match, rules
 from sieveworks.operators import signals as S
 from sieveworks.operators.graph import written
@@ -54,7 +55,7 @@ def scored(records: DataFrame, defs: Sequence[S.SignalDef]) -> DataFrame:
 
 def signalled(records: DataFrame, responses: DataFrame, defs: Sequence[S.SignalDef]) -> DataFrame:
     """Records with signals: unknown where there is too little text, else from ``responses`` (id, response), cleaned."""
-    thin = F.length(F.regexp_replace(F.coalesce("context_text", F.lit("")), r"(?U)^\s+|\s+$", "")) < K.LEAST_CONTEXT
+    thin = F.length(strip(F.col("context_text"))) < K.LEAST_CONTEXT
     both = records.drop("signals").join(responses.select("id", F.col("response").cast(S.RESPONSE).alias("_response")), "id", "left")
     both = both.withColumn("_entries", F.coalesce("_response", F.array().cast(S.RESPONSE)))
     status = F.when(thin | F.col("_response").isNotNull(), "complete").otherwise("failed")

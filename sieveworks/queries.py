@@ -410,14 +410,14 @@ def registry_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _practices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as listing rows: a street and ZIP for every three, a phone and a domain for every two."""
+    """Customers as listing rows: a street and ZIP for every three, a phone and a domain for every six."""
     c = F.col
     k = c("c_custkey")
-    street, pair = F.floor(k / 3), F.floor(k / 2)
+    street, pair = F.floor(k / 3), F.floor(k / 6)
     return table(spark, sf_dir, "customer").select(
         k.cast("string").alias("id"), F.concat(F.lit("Practice "), pair.cast("string")).alias("practice_name"), F.concat(street.cast("string"), F.lit(" Main St"), F.when(k % 4 == 0, F.concat(F.lit(" Ste "), (k % 7 + 1).cast("string"))).otherwise("")).alias("address_street"),
         F.lpad((street % 90000).cast("string"), 5, "1").alias("address_zip"), F.concat(F.lit("415"), F.lit("555"), F.lpad((pair % 10000).cast("string"), 4, "0")).alias("phone"),
-        F.when(k % 5 > 0, F.concat(F.lit("https://p"), F.floor(k / 4).cast("string"), F.lit(".example.com"))).otherwise("").alias("website_url"),
+        F.when(k % 5 > 0, F.concat(F.lit("https://p"), pair.cast("string"), F.lit(".example.com"))).otherwise("").alias("website_url"),
     )
 
 

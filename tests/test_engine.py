@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveworks import constants as K
 from sieveworks.operators import evidence, match, metrics, overlay, registry, resolve, rules, views
 from sieveworks.operators import signals as S
+from sieveworks.operators.graph import components
 from sieveworks.plans import config, enrichment
 from sieveworks.sources import readers, writers
 
@@ -337,3 +338,11 @@ def test_views(spark):
     runs = spark.createDataFrame([("r", 5, 1000, 2000, 10, None)], "run_id string, llm_call_count int, llm_input_tokens int, llm_output_tokens int, records_output int, consolidation_practice_locations int")
     assert metrics.cost_summary(runs).first()["estimated_cost_usd"] == round(1000 / 1e6 * 3 + 2000 / 1e6 * 15, 4)
     assert [r["case_id"] for r in metrics.scaffold(spark.createDataFrame([("1", "A B"), ("2", "a-b")], "id string, practice_name string")).orderBy("id").collect()] == ["a_b", "a_b_2"]
+
+
+@pytest.mark.parametrize("one_task", [10**6, 0])
+def test_components(spark, one_task):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
+    random.Random(2).shuffle(edges)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)}
