@@ -9,8 +9,8 @@ so one period is laid out by itself and a block's slot is a formula of its numbe
 go on in a new phase by their weights among themselves: nothing is dropped or repeated. There are at most as many phases as
 named sources, so the table that is broadcast is bounded by the configuration and not by the data.
 
-A row's number in its source comes from counts of small hash buckets, running sums of these, and its place in its bucket, so
-that a source with a third of all rows is dealt to as many tasks as its rows need.
+A row's number in its source comes from counts of small hash buckets, running sums of these, and its place in its bucket. A
+source has as many buckets as its rows need, so one with a third of all rows is dealt to a third of the tasks.
 
 Cases: a source that the weights don't name, null among them, belongs to the source named "" (weight 1, if not given); rows
 with a null id go by a hash of their text; repeated rows are rows of their own, in any order; extra columns are passed through;
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from sieveworks.llm.common import shuffle_partitions
 
 #: Rows in a block; rows in a bucket of which one task sorts several.
-BLOCK, BUCKET = 8, 4096
+BLOCK, BUCKET = 8, 2048
 #: Sources that may be named, and the largest sum of weights: they bound what is broadcast.
 MOST_SOURCES, LONGEST_PERIOD = 1000, 100_000
 OWN = ("_source", "_hash", "_bucket", "_number", "block", "slot", "position")
@@ -105,12 +105,13 @@ def plan(docs: DataFrame, weights: Mapping[str, int], source: str = "source", do
     place = F.xxhash64(F.lit(8), docs[doc_id])
     if text in docs.columns:
         place = F.when(docs[doc_id].isNull(), F.xxhash64(docs[text])).otherwise(place)
-    total = docs.count()
-    keyed = docs.withColumns({"_source": named, "_hash": place}).withColumn("_bucket", F.pmod("_hash", F.lit(max(1, -(-total // BUCKET)))))
+    counts = {r["_source"]: r["count"] for r in docs.groupBy(named.alias("_source")).count().collect()}  # one row for each named source
+    # A source has buckets by its size, so that buckets of all sources hold about as many rows.
+    parts = F.create_map(*[F.lit(x) for s, n in counts.items() for x in (s, -(-n // BUCKET))])[named] if counts else F.lit(1)
+    keyed = docs.withColumns({"_source": named, "_hash": place, "_bucket": F.pmod(place, parts)})
     sizes = keyed.groupBy("_source", "_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_source", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    counts = {r["_source"]: r["n"] for r in sizes.groupBy("_source").agg(F.sum("n").alias("n")).collect()}  # one row for each named source
     spans = schedule(weights, {s: -(-n // block) for s, n in counts.items()})
     fields = "source string, first long, end long, start long, weight long, period long, slots array<long>"
     table = spark.createDataFrame([(x.source, x.first, x.end, x.start, x.weight, x.period, list(x.slots)) for x in spans], fields)
