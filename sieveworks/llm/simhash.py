@@ -18,7 +18,7 @@ fingerprint and a component but are never the component's id, and ``dedupe`` kee
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +33,27 @@ SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 BUCKET = 2048
 
 
-def fingerprint(raw: bytes | None, words: int = SHINGLE_WORDS) -> int:
-    """The fingerprint of a text in UTF-8, as a signed 64-bit number. A-Z are lower-cased; words part at the six ASCII spaces."""
+def shingles(raw: bytes | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of a text's shingles, in UTF-8. A-Z are lower-cased; words part at the six ASCII spaces; a shorter text is one shingle."""
     tokens = (raw or b"").lower().split()
     n = len(tokens)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(tokens)
     digest = xxhash.xxh64_intdigest
     if n <= words:
-        hashes = np.array([digest(line, SEED)], np.uint64)
-    else:
-        size = np.fromiter(map(len, tokens), np.int64, n)
-        end = np.cumsum(size + 1) - 1
-        starts, ends = (end - size)[: n - words + 1].tolist(), end[words - 1 :].tolist()
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+        return np.array([digest(line, SEED)], np.uint64)
+    size = np.fromiter(map(len, tokens), np.int64, n)
+    end = np.cumsum(size + 1) - 1
+    starts, ends = (end - size)[: n - words + 1].tolist(), end[words - 1 :].tolist()
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+
+def fingerprint(raw: bytes | None, words: int = SHINGLE_WORDS) -> int:
+    """The fingerprint of a text in UTF-8, as a signed 64-bit number."""
+    hashes = shingles(raw, words)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     octets = hashes.view(np.uint8).reshape(-1, 8)
     for at in range(0, len(octets), 255):  # sums of 255 bits fit in a byte
@@ -176,20 +182,25 @@ def roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """``doc_id, fp, component_id``, a row for each row of ``docs``; component_id is the least doc_id that links reach."""
-    fps = materialize(fingerprints(docs, doc_id, text), "fingerprints")
+def named(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``doc_id, fp, component_id`` for rows ``doc_id, fp`` and the edges between different ``fp``."""
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    root = roots(links(fps.select("fp").distinct(), radius, bucket))
+    root = roots(edges)
     rooted = classes.join(root, classes.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(named, "root").select("fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; of rows with one id, one stays; rows with a null id stay."""
-    kept = materialize(components(docs, doc_id, text).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """``doc_id, fp, component_id``, a row for each row of ``docs``; component_id is the least doc_id that links reach."""
+    fps = materialize(fingerprints(docs, doc_id, text), "fingerprints")
+    return named(fps, links(fps.select("fp").distinct(), radius, bucket))
+
+
+def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: Callable[..., DataFrame] = components) -> DataFrame:
+    """The rows of ``docs`` whose id is their component's by ``near``; of rows with one id, one stays; rows with a null id stay."""
+    kept = materialize(near(docs, doc_id, text).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     ids = kept.select(F.col("doc_id").alias("_kept"))
     out = docs.join(ids.hint("shuffle_hash"), docs[doc_id] == ids["_kept"], "left_semi")
     if not kept.where("n > 1").isEmpty():
