@@ -127,11 +127,11 @@ def plan(docs: DataFrame, weights: Mapping[str, int], source: str = "source", do
     return slotted.select(*[numbered[c] for c in docs.columns], "block", "slot", F.expr(f"cast(slot * {block} + _number % {block} - ({missing}) as bigint)").alias("position"))
 
 
-def arrange(docs: DataFrame, weights: Mapping[str, int], source: str = "source", doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` in the order of the mix: over the partitions, and in each of them."""
+def arrange(docs: DataFrame, weights: Mapping[str, int], source: str = "source", doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, numbered: bool = False) -> DataFrame:
+    """The rows of ``docs`` in the order of the mix: over the partitions, and in each of them; with ``numbered`` also ``position``."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     each = max(1, -(-docs.count() // parts))
     placed = plan(docs, weights, source, doc_id, text, block)
     dealt = placed.repartitionById(parts, F.floor(F.col("position") / each).cast("int"))
-    return dealt.sortWithinPartitions("position").drop("block", "slot", "position")
+    return dealt.sortWithinPartitions("position").drop("block", "slot", *(() if numbered else ("position",)))
