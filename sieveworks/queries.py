@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sieveworks import constants as K
 from sieveworks.functions import addresses, html, names, phones, urls
-from sieveworks.functions.text import anchor, anchored, csv_safe, excerpt, safe_id, short_hash, slug, titled, truncated
+from sieveworks.functions.text import anchor, anchor, anchored, csv_safe, excerpt, safe_id, short_hash, slug, titled, truncated
 from sieveworks.operators import evidence, match, metrics, overlay, resolve, rules, views
 from sieveworks.operators import signals as S
 from sieveworks.plans import enrichment
@@ -562,6 +562,19 @@ def anchor_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.audit(listed, docs).select(c("record_id").alias("doc_id"), "signal_id", "status")
 
 
+@query(
+    """
+    SELECT doc_id, item_id AS signal_id FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents) d
+    JOIN (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS q FROM benchmark) b ON q <> '' AND contains(t, q)"""
+)
+def passage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a passage and a text that holds it, of all passages and all texts."""
+    c = F.col
+    texts = table(spark, sf_dir, "documents").select("doc_id", anchor(c("text")).alias("t"))
+    quotes = table(spark, sf_dir, "benchmark").select(c("item_id").alias("signal_id"), anchor(c("text")).alias("q")).where("q <> ''")
+    return texts.join(F.broadcast(quotes), F.contains(c("t"), c("q"))).select("doc_id", "signal_id")
+
+
 @query()
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of pages, and what a crawl of that length is worth."""
