@@ -7,9 +7,11 @@ span the whole space, so some ``v`` has product 0 with all of them: its mask lea
 No link is lost, whatever the data.
 
 Equal fingerprints are one class from the start, so copies are never paired. A bucket yields a spanning forest of its links,
-not its pairs. A bucket of more than ``BUCKET`` fingerprints is dealt again by a second covering family on top of the first;
-fingerprints in one such cell agree on about 48 of 64 bits, so a cell holds 2 ** 18 at most. Classes are joined into components
-by alternating star contractions over tables in the shared folder.
+not its pairs. A bucket of more than ``BUCKET`` fingerprints is dealt again by a second covering family on top of the first, and
+by a third on top of both. The families of radius 4 are chosen so that fingerprints in one cell of the second agree on 44 bits
+at least, and in one of the third on 50: that holds 2 ** 14 different fingerprints at most, whatever the data. Classes are joined
+into components by alternating star contractions over tables in the shared folder; the join that names a component's classes
+is salted, as one component may hold a third of them.
 
 Cases: a null or empty text has fingerprint zero and links like any other; equal rows share a class; rows with a null id get a
 fingerprint and a component but are never the component's id, and ``dedupe`` keeps them; extra columns are not read by
@@ -18,7 +20,9 @@ fingerprint and a component but are never the component's id, and ``dedupe`` kee
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.llm.common import materialize
+from sieveworks.operators import graph
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that a bucket may hold before it is dealt again.
 BUCKET = 2048
+#: Seeds of the orders in which the families deal vectors to positions; None is the order of the positions.
+FAMILIES = (None, 11, 72)
+#: Parts into which the classes of a component are dealt to be named.
+SALTS = 32
 
 
 def shingles(raw: bytes | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -74,10 +83,15 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return source.mapInArrow(run, "doc_id long, fp long")
 
 
-def masks(radius: int = RADIUS, step: int = 1) -> list[int]:
-    """The covering masks, signed; families with different ``step`` deal the vectors to the positions differently."""
+def masks(radius: int = RADIUS, step: int = 1, seed: int | None = None) -> list[int]:
+    """The covering masks, signed; families with different ``step`` or ``seed`` deal the vectors to the positions differently."""
     whole = (1 << (radius + 1)) - 1
-    vectors = [(i * step) % whole + 1 for i in range(64)]
+    order = list(range(64))
+    if seed is not None:
+        random.Random(seed).shuffle(order)
+    vectors = [0] * 64
+    for at, position in enumerate(order):
+        vectors[position] = (at * step) % whole + 1
     out = [sum(1 << i for i, m in enumerate(vectors) if bin(v & m).count("1") % 2) for v in range(1, whole + 1)]
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
@@ -145,41 +159,28 @@ def _linked(radius: int, most: int | None):
     return run
 
 
-def _dealt(rows: DataFrame, key, family: list[int], radius: int, most: int | None) -> DataFrame:
-    """The buckets of one covering family, each whole and sorted in one task."""
-    cells = F.explode(F.array(*[key(i, F.lit(m).cast("long")) for i, m in enumerate(family)]))
+def _dealt(rows: DataFrame, family: list[int], radius: int, most: int | None) -> DataFrame:
+    """The buckets of one covering family within the cells of ``rows`` (``fp, cell``), each whole and sorted in one task."""
+    cells = F.explode(F.array(*[F.xxhash64("cell", F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(family)]))
     dealt = rows.select(cells.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_linked(radius, most), "a long, b long, again boolean")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Edges ``a, b`` between different fingerprints that connect exactly those which links connect; ``distinct`` has ``fp``."""
-    first = _dealt(distinct, lambda i, m: F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(m)), masks(radius), radius, bucket)
-    first = materialize(first, "simhash-links")
-    large = first.where("again").select(F.col("a").alias("fp"), F.col("b").alias("cell"))
-    out = first.where("not again").select("a", "b")
-    if not large.isEmpty():
-        again = _dealt(large, lambda i, m: F.xxhash64("cell", F.lit(i), F.col("fp").bitwiseAND(m)), masks(radius, 3), radius, None)
-        out = out.union(again.select("a", "b"))
-    return out
+    rows, out = distinct.select("fp", F.lit(0).cast("long").alias("cell")), []
+    for seed in FAMILIES:
+        found = materialize(_dealt(rows, masks(radius, seed=seed), radius, bucket if seed != FAMILIES[-1] else None), "simhash-links")
+        out.append(found.where("not again").select("a", "b"))
+        rows = found.where("again").select(F.col("a").alias("fp"), F.col("b").alias("cell"))
+        if rows.isEmpty():
+            break
+    return reduce(DataFrame.union, out)
 
 
 def roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, root`` for every node with an edge; root is the least node of its component. Alternating large and small stars."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    before = None
-    for _ in range(rounds):
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialize(small.where("u <> v").distinct(), "stars")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    """``node, root`` for every node with an edge to a lesser one; root is the least node of its component."""
+    return graph.components(edges, rounds, one_task=0)
 
 
 def named(fps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -187,8 +188,10 @@ def named(fps: DataFrame, edges: DataFrame) -> DataFrame:
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     root = roots(edges)
     rooted = classes.join(root, classes.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(least, "root").select("fp", "component_id")
+    rooted = rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).where("n > 1")
+    least = least.select("root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.struct("component_id").alias("of"))
+    of_class = rooted.join(least, ["root", "salt"], "left").select("fp", F.when(F.col("of").isNull(), F.col("least")).otherwise(F.col("of.component_id")).alias("component_id"))
     return fps.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
