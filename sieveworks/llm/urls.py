@@ -7,8 +7,8 @@ place on a stack, pops those that the next key leaves, and looks up a page's pat
 fitting rule (host and path together, then host) decides; of two rules for one host and path, block does.
 
 Pages are dealt by ranges of (key, path, id), so that one host's pages spread over as many ranges as they need, and each rule
-goes to every range that its interval touches. Range ends come from a bounded sample of keys, as Spark's own sorting does it;
-they decide only where a page is judged.
+goes to every range that its interval touches. Range ends come from SAMPLED random keys for each range, as Spark's own sorting
+does it, whatever the number of pages; they decide only where a page is judged.
 
 Cases: a null url, or one without ``://``, has an empty host and path and fits no rule; repeated rows are judged each; an empty
 path fits no rule, as every rule's path begins with a slash; extra columns are not read.
@@ -106,7 +106,7 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
     # A range's key: cut where it is long, and ended by a character below all others, so that no key reaches into the path.
     place = F.concat(F.substring("key", 1, KEY), F.lit("\0"), F.substring("path", 1, PATH), F.lit("\0"), F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0"))
     ranges = shuffle_partitions(spark)
-    sample = keyed.select(F.xxhash64("page_id", "key", "path").alias("h"), place.alias("place")).orderBy("h", "place").limit(SAMPLED * ranges).collect()
+    sample = keyed.where(F.rand(42) * pages.count() < SAMPLED * ranges).select(place.alias("place")).collect()
     points = sorted((r["place"] for r in sample), key=str.encode)
     ends = sorted({points[len(points) * i // ranges] for i in range(1, ranges)}, key=str.encode) if points else []
     raw_ends = [e.encode() for e in ends]
