@@ -13,7 +13,8 @@ A row's number in its source comes from counts of small hash buckets, running su
 source has as many buckets as its rows need, so one with a third of all rows is dealt to a third of the tasks.
 
 Cases: a source that the weights don't name, null among them, belongs to the source named "" (weight 1, if not given); rows
-with a null id go by a hash of their text; repeated rows are rows of their own, in any order; extra columns are passed through;
+with a null id go by a hash of their text; repeated rows are rows of their own, in any order; extra columns are passed through, those with a
+name that this operator uses, in either case, are an error;
 an empty table gives an empty result; a last block may be short.
 """
 
@@ -32,7 +33,7 @@ from sieveworks.llm.common import shuffle_partitions
 BLOCK, BUCKET = 8, 2048
 #: Sources that may be named, and the largest sum of weights: they bound what is broadcast.
 MOST_SOURCES, LONGEST_PERIOD = 1000, 100_000
-OWN = ("_source", "_hash", "_bucket", "_number", "block", "slot", "position")
+OWN = ("_source", "_hash", "_bucket", "_number", "_before", "block", "slot", "position")
 
 
 def period(weights: Mapping[str, int]) -> Iterator[str]:
