@@ -103,6 +103,17 @@ def measure(texts: list[bytes | None], rules: tuple[Rule, ...] = RULES) -> list[
     return out
 
 
+def measured(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
+    """``measure`` of the first ``sample_rows`` texts, in one task: the driver gets figures and no texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        figures = measure([x.as_py() for batch in batches for x in batch.column(0)], rules)
+        yield pa.RecordBatch.from_arrays([pa.array([getattr(f, c) for f in figures]) for c in ("name", "seconds", "rejected")], names=["name", "seconds", "rejected"])
+
+    found = docs.select(docs[text].cast("binary")).limit(sample_rows).mapInArrow(run, "name string, seconds double, rejected double").collect()
+    return [Measured(*r) for r in found]
+
+
 def ordered(figures: list[Measured], rules: tuple[Rule, ...] = RULES) -> list[Rule]:
     """Rules by rejection per cost, the most first; ties keep the given order."""
     gain = {x.name: x.rejected / max(x.seconds, 1e-9) for x in figures}
@@ -113,11 +124,10 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     """``keep`` columns, the base counts, ``base_failed``, ``kept`` and ``rejected_by`` (the first rule that rejected, else null)."""
     source = docs.select(*keep, docs[text].cast("binary").alias("_text"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    clash = {*counts, "base_failed", "kept", "rejected_by", "_text"} & set(keep)
+    clash = {*counts, "base_failed", "kept", "rejected_by", "_text"} & {c.lower() for c in keep}
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)}: results carry these names")
-    sample = [r[0] for r in docs.select(docs[text].cast("binary")).limit(sample_rows).collect()]
-    names = [r.name for r in ordered(measure(sample, rules), rules)]
+    names = [r.name for r in ordered(measured(docs, text, rules, sample_rows), rules)]
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in counts] + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("rejected_by", T.StringType())])
     cascade = sorted(rules, key=lambda r: names.index(r.name))
 
