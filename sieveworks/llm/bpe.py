@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 #: one. Only speed depends on these.
 REMEMBERED, LONGEST = 400_000, 32
 #: Documents in one batch that goes back to Spark.
-ROWS = 512
+ROWS, CHARS = 512, 4_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -231,12 +232,23 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
+def _cut_small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ROWS texts, and CHARS characters unless one text has more."""
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = min(max(start + 1, int(np.searchsorted(sizes, before + CHARS, "right"))), start + ROWS)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """``keep`` columns, ``token_ids array<int>`` and, if asked for, ``decoded binary``: the bytes that the ids stand for.
 
     ``ranks_path`` names a rank file on the driver; its entries (tens of thousands, whatever the input) are broadcast.
     """
-    clash = {"token_ids", "decoded", "_text"} & set(keep)
+    clash = {"token_ids", "decoded", "_text"} & {c.lower() for c in keep}
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)}: results carry these names")
     spark = docs.sparkSession
@@ -253,8 +265,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
             ranks, pairs = shared.value
             codec = _CODECS[name] = Codec(ranks, pattern, pairs)
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
+            for part in _cut_small(batch):
                 ids = codec.encode_many(part.column("_text").to_pylist())
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.concatenate(ids)
