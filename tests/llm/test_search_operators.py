@@ -131,13 +131,17 @@ def test_neighbours_against_brute_force(spark):
     got = defaultdict(list)
     for r in neighbours.search(frame, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    y = x.astype(np.float64)
     assert set(got) == {*range(0, 400, 20), 1020}
     assert got[1020] == [(1, 1021, 4.0)]
-    for q in range(0, 400, 20):
-        score = neighbours.exact(np.repeat(y[q : q + 1], 400, axis=0), y)
-        order = [i for i in sorted(range(400), key=lambda i: (-score[i], i)) if i != q][:20]
-        assert got[q] == [(n, i, score[i]) for n, i in enumerate(order, 1)]
+    # Row 400 repeats row 0: either is a candidate for the other, and both are queries.
+    y, ids = np.concatenate([x, x[:1]]).astype(np.float64), [*range(400), 0]
+    want = defaultdict(list)
+    for q in [*range(0, 400, 20), 400]:
+        score = neighbours.exact(np.repeat(y[q : q + 1], 401, axis=0), y)
+        order = [i for i in sorted(range(401), key=lambda i: (-score[i], ids[i], i)) if i != q][:20]
+        want[ids[q]] += [(n, ids[i], score[i]) for n, i in enumerate(order, 1)]
+    for q, rows_ in want.items():
+        assert sorted(got[q]) == sorted(rows_)
     assert neighbours.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
