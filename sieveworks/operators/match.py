@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveworks import constants as K
 from sieveworks.functions import addresses, names, phones, urls
 from sieveworks.functions.text import blank, first_filled, strip
+from sieveworks.operators.graph import written
 from sieveworks.operators.rules import taxonomy_rules
 
 KEYS = ("google_place_id", "website_domain", "phone", "name_address")
@@ -22,10 +23,11 @@ def suppression(records: DataFrame, customers: DataFrame) -> DataFrame:
 
     ``customers`` has ordinal, npi, name, zip and state. In this order: the record's own numbers, a provider's number, two
     shared words and the ZIP, three shared words and the state; of several customers the first in the list decides. Words are
-    joined on (place, word), so a place with many customers is never paired whole.
+    joined on (place, word), so a place with many customers is never paired whole. Rows are numbered once and written, as each
+    branch would else number them anew.
     """
     c = F.col
-    rows = records.withColumn("_row", F.monotonically_increasing_id())
+    rows = written(records.drop("customer_suppressed", "suppression_reason").withColumn("_row", F.monotonically_increasing_id()), "suppression")
     npis = customers.where(strip(c("npi")) != "").select(strip(c("npi")).alias("npi")).distinct()
     own = rows.select("_row", F.posexplode(F.array(strip(c("npi_number")), strip(c("npi_optional")))).alias("at", "npi")).where("npi <> ''")
     people = rows.select("_row", F.posexplode("providers").alias("at", "p")).select("_row", (c("at") + 10).alias("at"), strip(c("p.npi")).alias("npi"), strip(c("p.name")).alias("who")).where("npi <> ''")
@@ -109,6 +111,20 @@ def changes(row: str, entry: str) -> Column:
     return F.array_compact(F.array(*[F.when((new(f) != "") & (old(f) != "") & (new(f) != old(f)), F.struct(F.lit(f).alias("field"), F.lit(label).alias("label"), old(f).alias("old"), new(f).alias("new"))) for f, label in K.CHANGE_FIELDS]))
 
 
+def with_earlier(keys: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """``keys`` with ``dup``: the latest earlier row of the same (basis, value).
+
+    A key is dealt by spans of ``row_idx``: inside one the row before counts, and the first row of a span gets the last one of
+    the spans before it, so a key that most rows share is sorted in many tasks.
+    """
+    at = ("basis", "value", "_span")
+    parted = keys.withColumn("_span", F.floor(F.col("row_idx") / span))
+    last = parted.groupBy(*at).agg(F.max("row_idx").alias("_last"))
+    last = last.withColumn("_before", F.lag("_last").over(Window.partitionBy("basis", "value").orderBy("_span"))).where("_before is not null").select(*at, "_before")
+    inside = F.lag("row_idx").over(Window.partitionBy(*at).orderBy("row_idx"))
+    return parted.withColumn("_inside", inside).join(last, list(at), "left").withColumn("dup", F.coalesce("_inside", "_before")).drop("_span", "_inside", "_before")
+
+
 def classified(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """``row_idx, classification, match_basis, entry_id, changed_fields, duplicate_of_row_idx`` for each uploaded row.
 
@@ -120,8 +136,7 @@ def classified(rows: DataFrame, entries: DataFrame) -> DataFrame:
     fields = F.struct(*[blank(c(f)).alias(f) for f, _ in K.CHANGE_FIELDS])
     known = found.join(fit.select("row_idx", fields.alias("new")), "row_idx").join(entries.select("entry_id", fields.alias("old")), "entry_id")
     known = known.select("row_idx", "entry_id", "match_basis", changes("new", "old").alias("changed_fields"))
-    earlier = F.lag("row_idx").over(Window.partitionBy("basis", "value").orderBy("row_idx"))
-    seen = exploded_keys(fit, "row_idx").withColumn("dup", earlier).where("dup is not null")
+    seen = with_earlier(exploded_keys(fit, "row_idx")).where("dup is not null")
     double = seen.groupBy("row_idx").agg(F.min_by("dup", "priority").alias("dup"), F.min_by("basis", "priority").alias("dup_basis"))
     out = rows.select("row_idx", sufficient().alias("ok")).join(known, "row_idx", "left").join(double, "row_idx", "left")
     hit = c("entry_id").isNotNull()
@@ -170,10 +185,11 @@ def npi_lookup(records: DataFrame, snapshot: DataFrame, rules: dict[str, str] |
     """``records`` with number, confidence, entity type, codes, name and count from a snapshot of the number registry.
 
     A row's own number wins. Else, in its ZIP, organizations ahead of persons, the first candidate (by number) whose name or
-    phone agrees; candidates without agreement are ambiguous. Candidates share a ZIP and a word of the name, or the phone.
+    phone agrees; candidates without agreement are ambiguous. Candidates share a ZIP and a word of the name, or the phone. Rows
+    are numbered once and written.
     """
     c = F.col
-    rows = records.withColumn("_row", F.monotonically_increasing_id())
+    rows = written(records.withColumn("_row", F.monotonically_increasing_id()), "lookup")
     org = F.when(c("enumeration_type") == "NPI-2", "organization").otherwise("individual")
     card = F.struct(c("number").alias("npi_number"), org.alias("npi_entity_type"), F.coalesce("taxonomy_codes", F.array().cast("array<string>")).alias("codes"), F.nullif(strip(c("organization_name")), F.lit("")).alias("npi_practice_name"))
     listed = snapshot.select(card.alias("card"), c("number").alias("num"), (c("enumeration_type") != "NPI-2").alias("person"), addresses.zip5(c("postal_code")).alias("zip"), phones.exact(c("telephone_number")).alias("tel"), c("organization_name").alias("called"))

@@ -112,8 +112,10 @@ def tier(signals: Column, score: Column, enrichment: Column, source_confidence:
     """``struct<tier, reason>`` of a record that nothing excludes.
 
     Order of decisions: too little evidence; thin source; an unconfirmed qualifier; then the lower of the rank reached
-    (must-haves or score, lifted by floors) and all caps.
+    (must-haves or score, lifted by floors) and all caps. A record that cannot be judged, for want of a score or because a
+    comparison has no result, goes to manual review; missing signals count as none.
     """
+    signals = F.coalesce(signals, F.array().cast(f"array<{S.SIGNAL}>"))
     name = lambda s: F.when(blank(s.signal_label) != "", s.signal_label).when(blank(s.signal_id) != "", s.signal_id).otherwise("a required signal")
     enriched = ~F.coalesce(enrichment == "not_enriched", F.lit(False))
     yes = lambda s: s.signal_state == "yes"
@@ -145,9 +147,10 @@ def tier(signals: Column, score: Column, enrichment: Column, source_confidence:
     by_rank = F.lit(None).cast("string")
     for label, number in K.TIER_RANK.items():
         by_rank = F.when(final == number, label).otherwise(by_rank)
-    manual = thin | unread | (F.size(missing) > 0)
+    manual = F.coalesce(thin | unread | (F.size(missing) > 0), F.lit(True)) | score.isNull() | by_rank.isNull()
     reason = (
         F.when(thin & ~evidence, "No confirmed signals on the site — manual review required before calling.")
+        .when(score.isNull(), "")
         .when(thin, F.concat(F.lit("Score "), score.cast("string"), F.lit(f" is below the {K.EVIDENCE_FLOOR}-point evidence floor — too thin to call without review.")))
         .when(unread, "Website could not be reliably crawled — re-crawl with browser or paste page content before calling.")
         .when(F.size(missing) > 0, F.concat(name(first), F.lit(" not confirmed (required to qualify) — manual review required before calling.")))
@@ -162,12 +165,12 @@ def decided(records: DataFrame, config: RunConfig) -> DataFrame:
 
     Needs the columns specialty, website_url, address_state, taxonomy_exclusions, signals, bullseye_score, enrichment_status,
     source_confidence, exclusion_triggers, exclusion_rationale, context_text, customer_suppressed and suppression_reason.
-    A decision that cannot be made leaves a null tier, which ``finalized`` repairs by score; it never excludes.
+    It fails closed: a decision that cannot be made is Manual Review and never excludes; ``undecided`` lists these records.
     """
     c = F.col
     found = exclusions(config, structural(config, c("specialty"), c("website_url"), c("address_state"), c("taxonomy_exclusions")), c("signals"), c("exclusion_triggers"), c("exclusion_rationale"), c("website_url"), c("context_text"))
     out = records.withColumn("_found", found).withColumn("_suppressed", F.coalesce(c("customer_suppressed"), F.lit(False)))
-    out = out.withColumn("_excluded", c("_suppressed") | (F.size("_found.rules") > 0))
+    out = out.withColumn("_excluded", c("_suppressed") | F.coalesce(F.size("_found.rules") > 0, F.lit(False)))
     out = out.withColumn("_tier", tier(c("signals"), c("bullseye_score"), c("enrichment_status"), c("source_confidence"), config.bullseye_min_score))
     reason = F.when(c("_suppressed"), F.when(blank(c("suppression_reason")) != "", c("suppression_reason")).otherwise("Existing customer")).otherwise(c("_found.reason"))
     return out.withColumns(
@@ -175,13 +178,47 @@ def decided(records: DataFrame, config: RunConfig) -> DataFrame:
             "exclusion_status": F.when(c("_excluded"), "EXCLUDED").otherwise("CLEAR"),
             "exclusion_reason": F.when(c("_excluded"), reason),
             "exclusion_primary_gate": F.when(c("_excluded") & ~c("_suppressed"), c("_found.gate")).otherwise(""),
-            "target_tier": F.when(c("_excluded"), K.EXCLUDED).otherwise(c("_tier.tier")),
-            "tier_cap_reason": F.when(c("_excluded"), "").otherwise(c("_tier.reason")),
+            "target_tier": F.when(c("_excluded"), K.EXCLUDED).otherwise(F.coalesce("_tier.tier", F.lit(K.MANUAL))),
+            "tier_cap_reason": F.when(c("_excluded"), "").otherwise(blank(c("_tier.reason"))),
             "bullseye_score": F.when(c("_excluded"), F.least(c("bullseye_score"), F.lit(K.EXCLUDED_CAP))).otherwise(c("bullseye_score")),
         }
     ).drop("_found", "_suppressed", "_excluded", "_tier")
 
 
+def undecided(records: DataFrame) -> DataFrame:
+    """``record_id, step, error, resolution``: a log row for each record that ``decided`` sends to manual review unjudged."""
+    message = F.when(F.col("bullseye_score").isNull(), "no score").otherwise("no signals")
+    open_ = records.where("(bullseye_score is null or signals is null) and not coalesce(customer_suppressed, false)")
+    return open_.select(F.coalesce("id", F.lit("unknown")).alias("record_id"), F.lit("exclusion_check").alias("step"), message.alias("error"), F.lit("Exclusion check failed; routed to Manual Review (fail-closed)").alias("resolution"))
+
+
+def ingested(records: DataFrame, config: RunConfig) -> DataFrame:
+    """Records of a roster that nothing was crawled for: structural exclusions and the final shape; open ones are contenders."""
+    zero = {x: F.lit(0) for x in ("bullseye_score", "fit_signal_score", "confidence_score")}
+    rows = prescreened(records, config).withColumns(zero | {"signals": F.array().cast(f"array<{S.SIGNAL}>")})
+    return finalized(rows.withColumn("target_tier", F.when(F.size("rules") > 0, K.EXCLUDED).otherwise(K.CONTENDER)))
+
+
+def canary_block(told: DataFrame, acknowledged: bool = False) -> DataFrame:
+    """Rows of ``canary`` with ``blocked`` and ``message``: a tripped canary keeps a run from clients until it is acknowledged."""
+    c = F.col
+    by_name = F.array_sort("rules", lambda x, y: F.when(x["n"] != y["n"], F.when(x["n"] > y["n"], -1).otherwise(1)).otherwise(F.when(x["rule"] < y["rule"], -1).when(x["rule"] > y["rule"], 1).otherwise(0)))
+    named = F.array_join(F.transform(by_name, lambda x: F.concat(x["rule"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", ")
+    named = F.when(F.size("rules") > 0, named).otherwise("no rule recorded")
+    # The words of the message.
+    said = F.concat(
+        F.lit("Exclusion canary: "), c("excluded").cast("string"), F.lit(" of "), c("total").cast("string"), F.lit(" records ("), F.format_string("%.1f", c("share") * 100), F.lit("%) were excluded by "), named,
+        F.lit(". A run that excludes almost everything is a configuration defect until proven otherwise, so client delivery is blocked. Acknowledge it on the run page, with a reason, to release it."),
+    )
+    blocked = c("tripped") & F.lit(not acknowledged)
+    return told.withColumns({"blocked": blocked, "message": F.when(blocked, said).otherwise("")})
+
+
+def awaiting_verification() -> Column:
+    """Whether a record is to get a second reading: it needs one, is complete and has none yet (``verified_at``)."""
+    return (F.col("target_tier") == K.VERIFY) & (F.col("enrichment_status") == "complete") & (blank(F.col("verified_at")) == "")
+
+
 def prescreened(records: DataFrame, config: RunConfig) -> DataFrame:
     """Records before enrichment, with ``rules`` that the source row fires and the status that follows."""
     c = F.col
