@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, order: list, name: str = "place", start: int = 1) -> DataFrame:
+    """``df`` with ``name``: its rows' numbers in an order over the whole table.
+
+    Rows are sorted over ranges, and numbered by their place in a range and the counts of the ranges before it; no task sees
+    them all. The sorted rows are written once, as their numbers depend on how they were dealt.
+    """
+    sorted_ = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", 33)
+    sizes = sorted_.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = sorted_.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + start).select(*df.columns, name)
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Roots of all edges of one task."""
     root: dict[int, int] = {}

@@ -101,3 +101,77 @@ def readiness(records: DataFrame) -> DataFrame:
     counted = records.agg(F.count_if(top).alias("n"), F.count_if(top & (F.col("review.qc_status") == "pending")).alias("pending_count"), F.count_if(top & (F.col("review.qc_status") == "approved")).alias("approved_count"))
     state = F.when(F.col("pending_count") > 0, "needs_review").when((F.col("n") > 0) & (F.col("approved_count") == 0), "no_approved").otherwise("ready")
     return counted.select(state.alias("state"), "pending_count", "approved_count")
+
+
+# --- changes to the overlay: each takes the reviews as they are and gives them as they will be --------------------------
+
+
+def edit_errors(edits: DataFrame) -> DataFrame:
+    """``record_id, error``: edits that can't be saved."""
+    c = F.col
+    error = (
+        F.when(~any_of(c("qc_status"), ("pending", "approved", "rejected")), "unknown qc_status")
+        .when((blank(c("override_tier")) != "") & ~any_of(current_tier(c("override_tier")), K.TIERS), "unknown tier")
+        .when((blank(c("override_tier")) != "") & (F.trim(blank(c("override_reason"))) == ""), "override_reason is required when override_tier is set")
+    )
+    return edits.select("record_id", error.alias("error")).where("error is not null")
+
+
+def _with(reviews: DataFrame, edits: DataFrame) -> DataFrame:
+    """Reviews (with defaults for records that have none) beside ``_e``, the edit of the record, null where there is none."""
+    fields = default_review()
+    mine = reviews.select("record_id", *[F.col(f) if f in reviews.columns else d.alias(f) for f, d in fields.items()])
+    both = mine.join(edits.select("record_id", F.struct(*[c for c in edits.columns if c != "record_id"]).alias("_e")), "record_id", "full_outer")
+    return both.withColumns({f: F.coalesce(F.col(f), d) if f in ("analyst_note", "qc_status", "extra_sales_angles", "signal_overrides") else F.col(f) for f, d in fields.items()})
+
+
+def _noted(stamp: Column) -> Column:
+    before = F.rtrim(blank(F.col("analyst_note")))
+    return F.when(before != "", F.concat(before, F.lit("\n"), stamp)).otherwise(stamp)
+
+
+def saved(reviews: DataFrame, edits: DataFrame, by: str, now: str) -> DataFrame:
+    """Reviews after edits (analyst_note, override_tier, override_reason, qc_status): angles and overrides stay; bad edits change nothing."""
+    good = edits.join(edit_errors(edits), "record_id", "left_anti")
+    e, has = F.col("_e"), F.col("_e").isNotNull()
+    reason = F.nullif(F.trim(blank(e.override_reason)), F.lit(""))
+    new = {"analyst_note": F.trim(blank(e.analyst_note)), "override_tier": e.override_tier, "override_reason": reason, "qc_status": e.qc_status, "reviewed_by": F.lit(by), "reviewed_at": F.lit(now)}
+    return _with(reviews, good).withColumns({k: F.when(has, v).otherwise(F.col(k)) for k, v in new.items()}).drop("_e")
+
+
+def with_status(reviews: DataFrame, ids: DataFrame, status: str, by: str, now: str) -> DataFrame:
+    """Reviews after a bulk change of qc_status; those that have it already stay; a reset to pending clears who and when."""
+    hit = F.col("_e").isNotNull() & (F.col("qc_status") != status)
+    who, at = (F.lit(None).cast("string"), F.lit(None).cast("string")) if status == "pending" else (F.lit(by), F.lit(now))
+    new = {"reviewed_by": who, "reviewed_at": at, "qc_status": F.lit(status)}
+    both = _with(reviews, ids.select("record_id", F.lit(1).alias("x")).distinct()).withColumn("_hit", hit)
+    return both.withColumns({k: F.when(F.col("_hit"), v).otherwise(F.col(k)) for k, v in new.items()}).drop("_e", "_hit")
+
+
+def with_override(reviews: DataFrame, edits: DataFrame, now: str) -> DataFrame:
+    """Reviews after signal overrides (one a record: signal_id, override_state, source_url, override_note, override_by, engine_state).
+
+    The first override of a signal keeps the engine's state as ``original_state``; later ones leave it.
+    """
+    e = F.col("_e")
+    before = F.try_element_at("signal_overrides", e.signal_id)
+    one = F.struct(e.signal_id.alias("signal_id"), e.override_state.alias("override_state"), e.source_url.alias("source_url"), e.override_note.alias("override_note"), e.override_by.alias("override_by"), F.lit(now).alias("override_at"), F.when(before.isNotNull(), before.original_state).otherwise(e.engine_state).alias("original_state")).cast(OVERRIDE)
+    put = F.map_concat(F.map_filter("signal_overrides", lambda k, v: k != e.signal_id), F.create_map(e.signal_id, one))
+    return _with(reviews, edits).withColumn("signal_overrides", F.when(e.isNotNull(), put).otherwise(F.col("signal_overrides"))).drop("_e")
+
+
+def ruled(reviews: DataFrame, rulings: DataFrame, by: str, now: str) -> DataFrame:
+    """Reviews after rulings on pairs (record_id, decision merge or separate, reason), with ``consolidation_decision``; without a reason nothing changes."""
+    good = rulings.where("decision in ('merge', 'separate') and trim(coalesce(reason, '')) <> ''")
+    e, has = F.col("_e"), F.col("_e").isNotNull()
+    stamp = F.concat(F.lit(f"Consolidation review on {now[:10]}: "), F.when(e.decision == "separate", "keep separate").otherwise("merge"), F.lit(" — "), F.trim(e.reason))
+    decision = F.struct(e.decision.alias("decision"), F.trim(e.reason).alias("reason"), F.lit(by).alias("decided_by"), F.lit(now).alias("decided_at"))
+    new = {"analyst_note": _noted(stamp), "reviewed_by": F.lit(by), "reviewed_at": F.lit(now)}
+    return _with(reviews, good).withColumns({k: F.when(has, v).otherwise(F.col(k)) for k, v in new.items()} | {"consolidation_decision": F.when(has, decision)}).drop("_e")
+
+
+def stamped(reviews: DataFrame, ids: DataFrame, kind: str, now: str) -> DataFrame:
+    """Reviews of re-enriched records: decisions stay, a dated line tells that the data under them changed."""
+    has = F.col("_e").isNotNull()
+    new = {"analyst_note": _noted(F.lit(f"Re-enriched on {now[:10]} ({kind}).")), "reviewed_at": F.lit(now)}
+    return _with(reviews, ids.select("record_id", F.lit(1).alias("x")).distinct()).withColumns({k: F.when(has, v).otherwise(F.col(k)) for k, v in new.items()}).drop("_e")

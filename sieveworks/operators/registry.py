@@ -95,7 +95,8 @@ def upsert(records: DataFrame, entries: DataFrame, run_id: str, now: str, discov
     events = fit.join(ruled.where("outcome <> 'ambiguous'"), "row_idx")
     values = F.struct("row_idx", *[c(f).alias(f) for f in (*KEYS, *K.HISTORY_FIELDS)])
     per = events.groupBy("entry_id").agg(F.array_sort(F.collect_list(values)).alias("u"))
-    joined = entries.join(per, "entry_id", "full_outer")
+    top = entries.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("_top"))
+    joined = entries.join(per, "entry_id", "full_outer").join(F.broadcast(top))
     old = c("last_seen_at").isNotNull()
     none = F.array().cast(HISTORY)
 
@@ -118,7 +119,7 @@ def upsert(records: DataFrame, entries: DataFrame, run_id: str, now: str, discov
         F.coalesce("first_discovery_run_id", F.lit(discovery_run_id)).alias("first_discovery_run_id"),
         F.when(touched & F.lit(bool(discovery_run_id)), discovery_run_id).otherwise(F.coalesce("last_discovery_run_id", F.lit(discovery_run_id))).alias("last_discovery_run_id"),
         F.when(touched, run_id).otherwise(c("last_enrichment_run_id")).alias("last_enrichment_run_id"), history.alias("change_history"),
-        F.coalesce(c("ordinal"), F.try_element_at("u", F.lit(1)).row_idx + 1_000_000_000).alias("ordinal"),
+        F.coalesce(c("ordinal"), c("_top") + 1 + F.try_element_at("u", F.lit(1)).row_idx).alias("ordinal"),
     )
     return out, log
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sieveworks import constants as K
 from sieveworks.functions import addresses, names, phones, urls
 from sieveworks.functions.text import any_of, blank, first_filled, short_hash, strip
-from sieveworks.operators.graph import components, written
+from sieveworks.operators.graph import components, placed, written
 
 FIELDS = (
     "id", "practice_name", "specialty", "npi_optional", "npi_number", "npi_entity_type", "npi_practice_name", "google_place_id",
@@ -184,6 +184,13 @@ def most_common(values: Column) -> Column:
     return F.coalesce(F.array_min(counted).v, F.lit(""))
 
 
+def most_common_of(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, most_common``: ``most_common`` of a column, summed before it is dealt instead of listed."""
+    counted = rows.select(key, strip(F.col(value)).alias("_v")).where("_v <> ''").groupBy(key, "_v").agg(F.count("*").alias("_c"))
+    found = counted.groupBy(key).agg(F.min_by("_v", F.struct((-F.col("_c")).alias("n"), "_v")).alias("most_common"))
+    return rows.select(key).distinct().join(found, key, "left").select(key, F.coalesce("most_common", F.lit("")).alias("most_common"))
+
+
 def _first(members: Column, field: str) -> Column:
     return F.coalesce(F.try_element_at(F.filter(F.transform(members, lambda m: m[field]), lambda x: x != ""), F.lit(1)), F.lit(""))
 
@@ -264,10 +271,12 @@ def with_ids(locations: DataFrame, shared: list[str]) -> DataFrame:
     kind = F.when((i.zip5 != "") & (i.street != ""), "addr").when(own, "domain").when(i.phone != "", "phone").when((i["name"] != "") & (i.zip5 != ""), "namezip").otherwise("name")
     key = F.when(kind == "addr", F.concat_ws("|", i.zip5, i.street, i.unit)).when(kind == "domain", i.domain).when(kind == "phone", i.phone).when(kind == "namezip", F.concat_ws("|", i["name"], i.zip5)).otherwise(i["name"])
     out = locations.withColumn("_kind", kind).withColumn("_key", key)
-    place = F.row_number().over(Window.partitionBy("_kind", "_key").orderBy("cluster_signature"))
+    # The first of equal keys comes from a summed minimum: a key that many share is never sorted in one task.
+    first = out.groupBy("_kind", "_key").agg(F.min(F.struct("cluster_signature", "cluster")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    out = out.join(first, ["_kind", "_key"], "left")
+    later = F.struct("cluster_signature", "cluster") > F.col("_first")
     base = short_hash(F.col("_kind"), F.col("_key"))
-    out = out.withColumn("_place", place)
-    return out.withColumn("practice_id", F.concat(F.lit("P-"), F.when(F.col("_place") == 1, base).otherwise(short_hash(F.col("_kind"), F.col("_key"), F.col("cluster_signature"))))).drop("_kind", "_key", "_place")
+    return out.withColumn("practice_id", F.concat(F.lit("P-"), F.when(F.coalesce(later, F.lit(False)), short_hash(F.col("_kind"), F.col("_key"), F.col("cluster_signature"))).otherwise(base))).drop("_kind", "_key", "_first")
 
 
 def admission(score: Column, matched: Column, phone_a: Column, phone_b: Column) -> Column:
@@ -297,15 +306,19 @@ def reviews(locations: DataFrame, rows: DataFrame, marked: DataFrame, noise: lis
     return both.select(l.practice_id.alias("left_id"), r.practice_id.alias("right_id"), "score", "matched", "review_reason", evidence.alias("evidence"))
 
 
-def grouped(locations: DataFrame, shared: list[str], url: str = "website_url") -> DataFrame:
-    """Locations with group_id, group_name, location_index and location_count: those that share a domain of their own."""
-    out = locations.withColumn("_domain", urls.registrable(F.col(url))).withColumn("_own", (F.col("_domain") != "") & ~any_of(F.col("_domain"), shared))
+def grouped(locations: DataFrame, shared: list[str], url: str = "website_url", domain: Column | None = None) -> DataFrame:
+    """Locations with group_id, group_name, location_index and location_count: those that share a domain of their own.
+
+    The domain is the registrable one of ``url``, unless another is given.
+    """
+    out = locations.withColumn("_domain", urls.registrable(F.col(url)) if domain is None else domain).withColumn("_own", (F.col("_domain") != "") & ~any_of(F.col("_domain"), shared))
     named = out.where("_own and trim(practice_name) <> ''").groupBy("_domain", F.trim("practice_name").alias("nm")).count()
     name = named.groupBy("_domain").agg(F.min_by("nm", F.struct(-F.col("count"), "nm")).alias("_name"))
     size = out.where("_own").groupBy("_domain").agg(F.count("*").alias("_n")).where("_n > 1")
     out = out.join(size, "_domain", "left").join(name, "_domain", "left")
-    at = F.row_number().over(Window.partitionBy("_domain", F.col("_n").isNotNull()).orderBy("address_zip", "address_street", "address_unit", "practice_id"))
     many = F.col("_n").isNotNull() & F.col("_own")
+    # Locations without a group are partitions of their own.
+    at = F.row_number().over(Window.partitionBy(F.when(many, F.col("_domain")), F.when(~many, F.col("practice_id"))).orderBy("address_zip", "address_street", "address_unit", "practice_id"))
     return out.withColumns(
         {
             "group_id": F.when(many, F.concat(F.lit("G-"), short_hash(F.lit("domain"), F.col("_domain")))).otherwise(""),
@@ -341,6 +354,33 @@ def consolidate(records: DataFrame, noise: list[str] | None = None, umbrella: li
     return final, asked, one.withColumn("rows_merged_away", F.col("input_count") - F.col("output_count"))
 
 
+def contact_comparison(records: DataFrame, **options) -> DataFrame:
+    """One row: locations, cross-address merges and review pairs without and with contact blocks, and what these take away."""
+    off, on = (consolidate(records, contact_blocking=x, **options)[2] for x in (False, True))
+    figures = ("output_count", "cross_address_merges", "review_pairs")
+    both = off.select("input_count", *[F.col(x).alias(f"{x}_off") for x in figures]).join(F.broadcast(on.select(*[F.col(x).alias(f"{x}_on") for x in figures], "contact_blocks_skipped")))
+    gone = F.col("output_count_off") - F.col("output_count_on")
+    return both.withColumns({"additional_collapse": gone, "collapse_percent": F.coalesce(F.round(F.try_divide(gone * 100, "output_count_off"), 1), F.lit(0.0))})
+
+
+def review_pairs(asked: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """Pairs for an analyst, each once, with ``mechanical`` (a unit veto and no judgement), ``decision``, and their ``place``.
+
+    Order: score from the highest, then the lesser id. ``decisions`` has id and decision; a ruling on either side counts, the
+    left one first. The number comes from ranges of the order, so no task sorts all pairs.
+    """
+    c = F.col
+    once = asked.withColumns({"_x": F.least("left_id", "right_id"), "_y": F.greatest("left_id", "right_id")})
+    fields = [x for x in asked.columns if x not in ("left_id", "right_id")]
+    once = once.groupBy("_x", "_y").agg(F.max_by(F.struct("left_id", "right_id", *fields), F.struct("score", "left_id")).alias("r")).select("r.*")
+    if decisions is not None:
+        ruled = decisions.select(c("id").alias("_i"), "decision")
+        for side in ("left_id", "right_id"):
+            once = once.join(ruled.select(c("_i").alias(side), c("decision").alias(f"_{side}")), side, "left")
+        once = once.withColumn("decision", F.coalesce("_left_id", "_right_id")).drop("_left_id", "_right_id")
+    return placed(once.withColumn("mechanical", c("review_reason") == "unit_gate_block"), [F.desc("score"), F.asc("left_id"), F.asc("right_id")])
+
+
 def block_sizes(rows: DataFrame) -> DataFrame:
     """``path, size, blocks``: how many blocks of each size the two paths make."""
     i = F.col("ident")

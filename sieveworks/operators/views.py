@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from sieveworks import constants as K
 from sieveworks.functions import urls
-from sieveworks.functions.text import any_of, blank, collapse, first_filled, lookup, strip, truncated
+from sieveworks.functions.text import any_of, blank, collapse, first_filled, lookup, strip, titled, truncated
 from sieveworks.operators.overlay import export_gate
 
 HIDDEN = ("bullseye_score", "fit_signal_score", "confidence_score", "fit_confidence_status", "llm_model_used", "llm_prompt_version", "raw_input")
@@ -40,6 +40,83 @@ def contact_queue(records: DataFrame) -> DataFrame:
     return records.where(~any_of(F.col("displayed_tier"), (K.EXCLUDED, K.MANUAL))).orderBy(*queue_order())
 
 
+def approved_order() -> list[Column]:
+    """Approved records: score from the highest, then their order."""
+    return [F.desc(F.coalesce("bullseye_score", F.lit(0))), F.asc("ordinal")]
+
+
+def humanized(x: Column) -> Column:
+    """A label; an id with underscores as words with capitals."""
+    return F.when(F.contains(x, F.lit("_")), titled(F.replace(x, F.lit("_"), F.lit(" ")))).otherwise(x)
+
+
+def exclusion_parts(reason: Column) -> Column:
+    """The sentences of an exclusion reason; ids in them become words."""
+    parts = F.filter(F.transform(F.split(blank(reason), r" \| "), strip), lambda p: p != "")
+    whole = r"(\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b)"
+    # Ids and what is between them, in turn.
+    def one(p: Column) -> Column:
+        ids = F.regexp_extract_all(p, F.lit(whole), F.lit(1))
+        return F.array_join(F.transform(F.split(p, whole, -1), lambda x, i: F.concat(x, F.coalesce(humanized(F.get(ids, i)), F.lit("")))), "")
+
+    return F.transform(parts, one)
+
+
+def metro_label(geography: Column) -> Column:
+    """Regions of a run in one cell."""
+    return F.when(F.size(geography) > 0, F.array_join(geography, ", ")).otherwise("—")
+
+
+def city_label(city: Column, state: Column, zip_: Column) -> Column:
+    """``City (ZIP), ST`` or what there is of it."""
+    c, s, z = strip(city), strip(state), strip(zip_)
+    with_zip = F.when(c != "", F.concat(c, F.lit(" ("), z, F.lit("), "), s)).otherwise(F.concat(F.lit("("), z, F.lit("), "), s))
+    return F.when((c == "") & (s == ""), "—").when(z != "", with_zip).when(c != "", F.concat(c, F.lit(", "), s)).otherwise(s)
+
+
+def directions(name: Column, city: Column, state: Column, zip_: Column) -> Column:
+    """A link to a map; empty without a name or any place."""
+    n, c, s, z = (strip(x) for x in (name, city, state, zip_))
+    joined = lambda by, *parts: F.array_join(F.filter(F.array(*parts), lambda p: p != ""), by)
+    return F.when((n == "") | ((c == "") & (s == "") & (z == "")), "").otherwise(F.concat(F.lit("https://www.google.com/maps/dir/?api=1&destination="), urls.quoted(joined(", ", n, c, joined(" ", s, z)))))
+
+
+# Labels of gates.
+GATE_LABELS = {
+    "practice_closed_or_inactive": "Inactive", "out_of_scope_specialty": "Out of scope", "health_system_affiliated": "Health system",
+    "hospital_employed_physician": "Hospital-employed",
+}
+
+
+def gate_badge(gate: Column, signals: Column) -> Column:
+    """The label of the gate that excluded a record: a fixed one, else that of its signal, else the id as words."""
+    own = F.try_element_at(F.filter(signals, lambda s: s.signal_id == gate), F.lit(1))
+    words = titled(F.replace(gate, F.lit("_"), F.lit(" ")))
+    return F.when(blank(gate) == "", "").otherwise(F.coalesce(lookup(gate, GATE_LABELS), F.nullif(blank(own.signal_label), F.lit("")), words))
+
+
+def gate_evidence(gate: Column, signals: Column, reason: Column) -> Column:
+    """What speaks for the gate: its signal's quote with the source's domain, or the reason's first sentence."""
+    own = F.try_element_at(F.filter(signals, lambda s: s.signal_id == gate), F.lit(1))
+    quote, source = strip(own.evidence_text), strip(own.source_url)
+    quoted = F.concat(F.lit('"'), quote, F.lit('"'))
+    of_signal = F.when((quote != "") & (source != ""), F.concat(quoted, F.lit(" — "), urls.hostname(source))).when(quote != "", quoted).when(source != "", F.concat(F.lit("Identified via "), urls.hostname(source), F.lit("."))).otherwise("")
+    first = F.try_element_at(F.split(blank(reason), r" \| "), F.lit(1))
+    other = F.when(blank(reason) != "", first).otherwise("Identified via practice classification data.")
+    return F.when(blank(gate) == "", "").when(~any_of(gate, tuple(GATE_LABELS)) & own.isNotNull(), of_signal).otherwise(other)
+
+
+def motion(signals: Column) -> Column:
+    """Whether a confirmed signal with a floor tells of a relation that is there already."""
+    return F.when(F.exists(signals, lambda s: (s.signal_state == "yes") & (blank(s.floor_tier) != "")), "EXPAND").otherwise("NEW LOGO")
+
+
+def next_step(signals: Column) -> Column:
+    """The first wanted signal that was not found, as a step; null for none."""
+    open_ = F.filter(signals, lambda s: (s.signal_state == "not_found") & (s.positive_weight > 0) & (blank(s.signal_label) != ""))
+    return F.concat(F.lit("Confirm: "), humanized(F.try_element_at(open_, F.lit(1)).signal_label))
+
+
 def evidence_slots(signals: Column, captured: Column, slots: int = K.EVIDENCE_SLOTS) -> dict[str, Column]:
     """Columns for the strongest observed signals with a quote and a source; unused ones are empty."""
     good = F.filter(signals, lambda s: (s.signal_state == "yes") & ~s.state_inferred & (strip(s.evidence_text) != "") & F.lower(strip(s.source_url)).rlike("^https?://") & (first_filled(s.signal_label, s.signal_id) != ""))
@@ -158,6 +235,38 @@ def handoff(records: DataFrame, run_date: str) -> DataFrame:
     return out.orderBy(F.desc("ready"), F.desc("confidence_score"), F.desc("bullseye_score"), "id")
 
 
+def sections(records: DataFrame) -> DataFrame:
+    """The internal view: reviewed records by section (the displayed tier), with cells for phone, signals, brief and review."""
+    from sieveworks.functions.phones import displayed
+    from sieveworks.operators.passes import tier_groups
+
+    c = F.col
+    confirmed = F.transform(F.filter("signals", lambda s: s.signal_state == "yes"), lambda s: humanized(F.when(blank(s.signal_label) != "", s.signal_label).otherwise(s.signal_id)))
+    dash = lambda x: F.when(blank(c(x)) != "", c(x)).otherwise("—")
+    out = tier_groups(records)
+    return out.select(
+        "place", c("tier_group").alias("section"), "id", dash("practice_name").alias("name"), dash("specialty").alias("specialty"), city_label(c("address_city"), c("address_state"), F.lit("")).alias("location"),
+        displayed(c("phone")).alias("phone"), confirmed.alias("confirmed_signals"), F.filter("sales_angle", lambda a: ~first_person(a)).alias("sales_angles"), blank(c("tier_cap_reason")).alias("tier_cap_reason"),
+        blank(c("exclusion_reason")).alias("exclusion_reason"), c("review.analyst_note").alias("analyst_note"), c("review.qc_status").alias("qc_status"),
+    )
+
+
+def discovery_handoff(told: DataFrame, rows: DataFrame, run_id: str) -> DataFrame:
+    """The fifteen columns by which a discovery run hands its rows to an enrichment; ``told`` are classified rows with their reasons."""
+    from sieveworks.operators.match import change_text
+
+    c = F.col
+    raw = {
+        "name": "practice_name", "site": "website_url", "phone": "phone", "full_address": "address_full", "city": "address_city", "state": "address_state",
+        "postal_code": "address_zip", "type": "google_category", "place_id": "google_place_id", "npi": "npi",
+    }
+    both = told.join(rows.select("row_idx", *[blank(c(v)).alias(f"_{k}") for k, v in raw.items()]), "row_idx")
+    return both.select(
+        *[c(f"_{k}").alias(k) for k in raw], F.lit(run_id).alias("discovery_run_id"), c("classification").alias("discovery_status"), c("reason").alias("discovery_reason"),
+        blank(c("entry_id")).alias("matched_existing_record_id"), change_text(c("changed_fields")).alias("changed_fields"),
+    )
+
+
 def brief_of(records: DataFrame, ids: list[str]) -> DataFrame:
     """The records of a brief of three accounts; all must be there."""
     if len(set(ids)) != 3:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Mapping
 
 from sieveworks import constants as K
@@ -46,6 +47,21 @@ def signal_errors(profile: Mapping) -> list[str]:
     return out
 
 
+# What tells a signal that says the inverse of how a practice bills.
+INVERSE_BILLING = ("insurance only", "insurance based only", "only accepts insurance", "insurance exclusive")
+BILLING_WORDS = ("billing", "model", "payer", "payor", "insurance")
+
+
+def without_inverse_billing(listed: list[Mapping]) -> list[Mapping]:
+    """Drafted signals without those that repeat, the other way round, how a practice is paid."""
+
+    def says(s: Mapping) -> str:
+        fields = ("signal_label", "prompt_instruction", "notes", "note")
+        return re.sub("[-_/]+", " ", " ".join(str(s[f]) for f in fields if s.get(f) is not None).lower())
+
+    return [s for s in listed if not (any(t in says(s) for t in INVERSE_BILLING) and any(w in says(s) for w in BILLING_WORDS))]
+
+
 def definitions(profile: Mapping) -> list[SignalDef]:
     """The checked signals of a profile."""
     if errors := signal_errors(profile):

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks import constants as K
@@ -33,10 +32,14 @@ def shaped(records: DataFrame) -> DataFrame:
     return records.withColumns(put)
 
 
-def first_wins(records: DataFrame, key: str = "id", order: str = "row_num") -> DataFrame:
-    """The first row of each id."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return records.withColumn("_at", at).where("_at = 1").drop("_at")
+def first_wins(records: DataFrame, key: str = "id", order: str | Column = "row_num") -> DataFrame:
+    """The first row of each id: a summed minimum, so a repeated id is never sorted in one task."""
+    return records.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*records.columns), order).alias("_row")).select("_row.*")
+
+
+def limited(records: DataFrame, most: int, order: str = "row_num") -> DataFrame:
+    """The first rows of a list in its order."""
+    return records.orderBy(order).limit(most)
 
 
 def required(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,8 +94,10 @@ def rescored(records: DataFrame, defs: Sequence[S.SignalDef], config: rules.RunC
 def simulated(spark: SparkSession, defs: Sequence[S.SignalDef], config: rules.RunConfig, states: dict[str, Sequence[str]], confidence: str = "high") -> DataFrame:
     """Every combination of the given states per signal: scores, tier and reason."""
     ids = list(states)
-    rows = [(dict(zip(ids, combo, strict=True)),) for combo in product(*states.values())]
-    grid = spark.createDataFrame(rows, "states map<string,string>")
+    grid = spark.range(1).drop("id")
+    for i, signal in enumerate(ids):
+        grid = grid.withColumn(f"s{i}", F.explode(F.array(*[F.lit(x) for x in states[signal]])))
+    grid = grid.select(F.map_from_arrays(F.array(*[F.lit(x) for x in ids]), F.array(*[F.col(f"s{i}") for i in range(len(ids))])).alias("states"))
     raw = F.array(*[F.struct(F.lit(d.signal_id).alias("signal_id"), F.coalesce(F.try_element_at("states", F.lit(d.signal_id)), F.lit("not_found")).alias("signal_state"), F.lit("simulated").alias("evidence_text"), F.lit("https://example.com").alias("source_url"), F.lit(confidence).alias("confidence"), F.lit("").alias("attribution")) for d in defs])
     made = shaped(grid.withColumn("_entries", raw.cast(S.RESPONSE)).withColumn("signals", S.cleaned("_entries", defs)).withColumns({"enrichment_status": F.lit("complete"), "source_confidence": F.lit("complete")}))
     return rules.decided(scored(made, defs), config).select("states", "bullseye_score", "fit_signal_score", "confidence_score", "exclusion_status", "target_tier", "tier_cap_reason")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveworks.functions import addresses, names, urls
 from sieveworks.functions.text import blank, first_filled, strip
 from sieveworks.operators import match
+from sieveworks.operators.graph import written
 from sieveworks.operators.overlay import REVIEW
 
 # Columns that sources use for a field, the first filled one counts.
@@ -37,7 +38,8 @@ CANONICAL = (
 def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """A CSV as text columns with trimmed lower-case names and ``row_idx``, its order; quotes may hold line ends.
 
-    Without ``sep`` the header decides: semicolons or tabs where it has no comma. One file is one task, for its order.
+    Without ``sep`` the header decides: semicolons or tabs where it has no comma. A file is read by one task, as a quote may hold
+    line ends; rows of several files are numbered on.
     """
     if sep is None:
         head = spark.read.text(path).limit(1).collect()
@@ -45,7 +47,12 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFram
         sep = "," if "," in line else ";" if ";" in line else "\t" if "\t" in line else ","
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", sep).option("mode", "PERMISSIVE").csv(path)
     tidy = df.toDF(*[c.lstrip("﻿").strip().lower() for c in df.columns])
-    return tidy.coalesce(1).withColumn("row_idx", F.monotonically_increasing_id())
+    numbered = written(tidy.withColumn("_at", F.monotonically_increasing_id()), "csv")
+    part = F.shiftright("_at", 33)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each file or more
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = numbered.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return out.select(*[F.col(f"`{c}`") for c in tidy.columns], (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("row_idx"))
 
 
 def pick(df: DataFrame, table: dict[str, tuple[str, ...]], field: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,13 +41,23 @@ def to_pages(pages: DataFrame, path: str) -> None:
 
 
 def to_version(df: DataFrame, path: str, version: int, expected: int) -> None:
-    """A table as a new version, refused if another writer was there first."""
+    """A table as a new version, refused if another writer was there first.
+
+    Rows are written beside the versions and take their place by one rename, which of two writers only one can do.
+    """
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     at = lambda n: jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}")
     fs = at(version).getFileSystem(conf)
     if version != expected + 1 or fs.exists(at(version)) or expected and not fs.exists(at(expected)):
         raise RuntimeError(f"version {version} of {path} does not follow what is there")
-    df.write.mode("errorifexists").parquet(f"{path}/version={version}")
+    aside = f"{path}/_writing-{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    source, target = jvm.org.apache.hadoop.fs.Path(aside), at(version)
+    # Renaming onto a folder that has appeared since would move into it.
+    if fs.exists(target) or not fs.rename(source, target) or fs.exists(jvm.org.apache.hadoop.fs.Path(target, source.getName())):
+        fs.delete(source, True)
+        fs.delete(jvm.org.apache.hadoop.fs.Path(target, source.getName()), True)
+        raise RuntimeError(f"version {version} of {path} was written by another")
 
 
 def discovery(results: DataFrame, counts: DataFrame, preview: DataFrame, path: str) -> None:

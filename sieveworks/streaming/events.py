@@ -25,7 +25,10 @@ def windowed(events: DataFrame, time: str, kind: str, value: str, size: str = "1
     return events.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> None:
-    """Everything that is there, into a table in memory (tests and small reports)."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_once(df: DataFrame, path: str, mode: str, checkpoint: str) -> None:
+    """Everything that is there, into a Parquet table: each batch's own folder in append mode, else the last state of all."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}" if mode == "append" else path)
+
+    df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
