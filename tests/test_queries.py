@@ -21,7 +21,7 @@ def duck():
 def plain(rows):
     def one(v):
         if v is None:
-            return ""
+            return "<null>"
         return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     return sorted(tuple(map(one, r)) for r in rows)
