@@ -89,23 +89,25 @@ def cleaned(response: str, defs: Sequence[SignalDef]) -> Column:
         state=f"if({fails}, 'not_found', p.state)", evidence=f"if({fails}, '', p.evidence)", url=f"if({fails}, '', p.url)",
         confidence=f"if({fails} or not array_contains({_listed(K.CONFIDENCES)}, p.confidence), 'low', p.confidence)", reason="g",
     )
-    # Arrays of one element bind what is used more than once.
-    sql = f"""transform({literal(defs)}, d -> transform(array(try_element_at(filter({response}, r -> r.signal_id = d.signal_id), -1)), r ->
+    # Arrays of one element bind what is used more than once, and the column itself: the optimizer would else put the expression
+    # that makes it inside the loop over definitions.
+    sql = f"""transform(array({response}), listed -> transform({literal(defs)}, d -> transform(array(try_element_at(filter(listed, r -> r.signal_id = d.signal_id), -1)), r ->
         transform(array(named_struct('state', lower({strip("r.signal_state")}), 'confidence', lower({strip("r.confidence")}), 'evidence', {strip("r.evidence_text")},
             'url', {strip("r.source_url")}, 'attribution', lower({strip("r.attribution")}))), q ->
         transform(array(named_struct('state', if(array_contains({_listed(K.STATES)}, q.state), q.state, 'not_found'), 'confidence', q.confidence, 'evidence', q.evidence, 'url', q.url, 'attribution', q.attribution)), p ->
         transform(array(case when p.state <> 'yes' then '' when p.attribution <> '' and not array_contains({_listed(K.SERVICE_ATTRIBUTIONS)}, p.attribution) then 'attribution_gate'
-            when array_contains({_listed(K.MISSING_VALUES)}, lower(p.evidence)) or not lower(p.url) rlike '^https?://' then 'evidence_gate' else '' end), g -> {made})[0])[0])[0])[0])"""
+            when array_contains({_listed(K.MISSING_VALUES)}, lower(p.evidence)) or not lower(p.url) rlike '^https?://' then 'evidence_gate' else '' end), g -> {made})[0])[0])[0])[0]))[0]"""
     return F.expr(sql).cast(f"array<{SIGNAL}>")
 
 
 def reinforced(signals: str, defs: Sequence[SignalDef]) -> Column:
     """Unknown signals of a column that a confirmed one implies, marked as inferred; of several the last definition names itself."""
     implied = [d for d in defs if d.reinforces]
-    by = f"""if(s.signal_state = 'not_found', try_element_at(filter({literal(implied)}, d -> d.reinforces = s.signal_id and exists({signals}, x -> x.signal_id = d.signal_id and x.signal_state = 'yes')), -1).signal_id, cast(null as string))""" if implied else "cast(null as string)"
+    by = f"""if(s.signal_state = 'not_found', try_element_at(filter({literal(implied)}, d -> d.reinforces = s.signal_id and exists(every, x -> x.signal_id = d.signal_id and x.signal_state = 'yes')), -1).signal_id, cast(null as string))""" if implied else "cast(null as string)"
     kept = [f for f in (x.split(":")[0] for x in SIGNAL[7:-1].split(",")) if f not in ("state_inferred", "inferred_from", "not_found_reason", "analyst_note")]
     made = ", ".join(f"'{f}', s.{f}" for f in kept)
-    return F.expr(f"transform({signals}, s -> transform(array({by}), b -> named_struct({made}, 'state_inferred', b is not null, 'inferred_from', coalesce(b, ''), 'not_found_reason', s.not_found_reason, 'analyst_note', s.analyst_note))[0])")
+    one = f"transform(array({by}), b -> named_struct({made}, 'state_inferred', b is not null, 'inferred_from', coalesce(b, ''), 'not_found_reason', s.not_found_reason, 'analyst_note', s.analyst_note))[0]"
+    return F.expr(f"transform(array({signals}), every -> transform(every, s -> {one}))[0]")
 
 
 def _graded(table: dict[str, float], kind: str = "D") -> str:
@@ -119,9 +121,10 @@ def scores(signals: str, defs: Sequence[SignalDef]) -> Column:
         when s.signal_state = 'no' then d.no_weight else d.not_found_weight end"""
     points = f"case when {yes} then {_graded(K.CONFIDENCE_POINTS)} when {w} >= 0 and {inferred} then {float(K.INFERENCE_POINTS)}D end"
     fold = f"""aggregate({literal(defs)}, named_struct('most', 0D, 'got', 0D, 'points', 0D, 'n', 0D), (a, d) ->
-        transform(array(try_element_at(filter({signals}, x -> x.signal_id = d.signal_id), -1)), s -> transform(array({points}), p -> named_struct(
+        transform(array(try_element_at(filter(every, x -> x.signal_id = d.signal_id), -1)), s -> transform(array({points}), p -> named_struct(
             'most', a.most + if({w} >= 0, {w}, 0D), 'got', a.got + {gain}, 'points', a.points + coalesce(p, 0D), 'n', a.n + if(p is null, 0D, 1D)))[0])[0],
         a -> named_struct('fit', if(a.most > 0, rint(a.got / nullif(a.most, 0D) * 100), {K.NEUTRAL_FIT}D), 'confidence', if(a.n > 0, rint(a.points / nullif(a.n, 0D)), {K.NO_SIGNAL_CONFIDENCE}D)))"""
+    fold = f"transform(array({signals}), every -> {fold})[0]"
     final = f"""transform(array({fold}), x -> transform(array(cast(greatest(0D, least(100D, x.fit)) as int)), f -> named_struct(
         'bullseye_score', cast(greatest(0D, least(100D, rint({K.FIT_WEIGHT}D * f + {K.CONFIDENCE_WEIGHT}D * x.confidence))) as int), 'fit_signal_score', f, 'confidence_score', cast(x.confidence as int)))[0])[0]"""
     return F.expr(final)
