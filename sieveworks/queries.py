@@ -410,10 +410,28 @@ def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locations.select("practice_id", "practice_name", "practice_name_source", "address_street_normalized", "address_unit_normalized", "address_zip", "phone", "provider_count", F.size("source_row_ids").alias("n_rows"), F.col("consolidation.score").alias("score"), "group_id", "location_index", "location_count")
 
 
-@query()
+def _doubtful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in pairs that should not merge by themselves: by their number, corroborated, without a phone, or of two units."""
+    c = F.col
+    k = c("c_custkey")
+    g, kind, second = F.floor(k / 2), F.floor(k / 2) % 3, k % 2 == 1
+    phone = F.concat(F.lit("415555"), F.lpad((g % 10000).cast("string"), 4, "0"))
+    return table(spark, sf_dir, "customer").select(
+        k.cast("string").alias("id"), F.when(second, F.concat(F.lit("Zygo Optics "), k.cast("string"))).otherwise(F.concat(F.lit("Bay Heart Clinic "), k.cast("string"))).alias("practice_name"), F.concat(g.cast("string"), F.lit(" Oak St")).alias("address_street"), F.lpad((10000 + g % 80000).cast("string"), 5, "0").alias("address_zip"),
+        F.when((kind == 1) & second, "").otherwise(phone).alias("phone"), F.when(kind == 0, F.concat(F.lit("https://d"), k.cast("string"), F.lit(".com"))).otherwise("").alias("website_url"), F.when(kind == 2, F.concat(F.lit("Ste "), (k % 2 + 1).cast("string"))).otherwise("").alias("address_unit"),
+    )
+
+
+@query(
+    """
+    WITH r AS (SELECT c_custkey AS k, floor(c_custkey / 2)::BIGINT AS g FROM customer), s AS (SELECT k, g, lpad((10000 + g % 80000)::VARCHAR, 5, '0') || '|' || g || ' oak street|' AS key, CASE WHEN g % 3 = 1 AND k % 2 = 1 THEN '' ELSE '415555' || lpad((g % 10000)::VARCHAR, 4, '0') END || '|' || CASE WHEN g % 3 = 0 THEN 'd' || k || '.com' ELSE '' END || '|'
+        || CASE WHEN k % 2 = 1 THEN 'zygo optics ' ELSE 'bay heart clinic ' END || k || '|' || k AS rest FROM r WHERE g % 3 < 2),
+    p AS (SELECT g, min(key) AS key, min(key || '|' || rest) AS a, max(key || '|' || rest) AS b FROM s GROUP BY 1 HAVING count(*) = 2)
+    SELECT 'P-' || left(sha256('addr|' || key), 12) AS left_id, 'P-' || left(sha256('addr|' || key || '|' || b), 12) AS right_id, 4 AS score, CASE WHEN g % 3 = 0 THEN 'corroborated' ELSE 'phone_absent' END AS review_reason, g % 3 = 0 AS domains_conflict, g % 3 = 1 AS phone_absent FROM p"""
+)
 def consolidation_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of locations for an analyst."""
-    _, asked, _ = resolve.consolidate(_practices(spark, sf_dir))
+    """Pairs of locations for an analyst (I11, G3): the second of equal addresses has its own id."""
+    _, asked, _ = resolve.consolidate(_doubtful(spark, sf_dir))
     return asked.select("left_id", "right_id", "score", "review_reason", "evidence.domains_conflict", "evidence.phone_absent")
 
 
@@ -551,7 +569,17 @@ def passage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.join(F.broadcast(quotes), F.contains(c("t"), c("q"))).select("doc_id", "signal_id")
 
 
-@query()
+_UNSEEN = "html"
+for _tag in ("head", "script", "style", "nav", "footer"):
+    _UNSEEN = f"regexp_replace({_UNSEEN}, '<{_tag}[ >].*?</{_tag}>', '<x>', 'gs')"
+
+
+@query(
+    f"""
+    WITH v AS (SELECT page_id, html, list_filter(list_transform(string_split_regex(regexp_replace({_UNSEEN}, '<!--.*?-->', '<x>', 'gs'), '<[^>]*>|\\n'), lambda x: trim(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'))), lambda x: x <> '') AS l FROM pages),
+    t AS (SELECT page_id, html, left(array_to_string(l, chr(10)), {K.PAGE_CHARS}) AS text FROM v), c AS (SELECT *, length(text)::INT AS chars FROM t)
+    SELECT page_id, chars, sha256(text) AS sha256, regexp_matches(left(lower(html), 4000), '{"|".join(K.CHALLENGES)}') AS challenge, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is') AS title, CASE WHEN chars < {K.THIN_CRAWL} THEN 'limited' ELSE 'partial' END AS source_confidence FROM c"""
+)
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of pages, and what a crawl of that length is worth."""
     c = F.col
@@ -559,7 +587,19 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"), "challenge", "title", evidence.source_confidence(F.lit(1), F.length("text")).alias("source_confidence"))
 
 
-@query()
+def _link_score(said: str, fold: str) -> str:
+    return fold.join(f"CASE WHEN contains({said}, '{w}') THEN {n} ELSE 0 END" for w, n in K.LINK_WORDS.items())
+
+
+@query(
+    f"""
+    WITH h AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS host, regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>.*?</a>', 1, 'is') AS hrefs, regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*["''][^"'']*["''][^>]*>(.*?)</a>', 1, 'is') AS texts FROM pages),
+    a AS (SELECT *, unnest(range(len(hrefs))) AS nr FROM h), l AS (SELECT page_id, url, host, nr, trim(lower(regexp_replace(texts[nr + 1], '<[^>]*>', '', 'g'))) AS said, regexp_replace(regexp_replace(host || trim(hrefs[nr + 1]), '#.*$', ''), '/+$', '') AS link FROM a WHERE starts_with(trim(hrefs[nr + 1]), '/')),
+    p AS (SELECT *, lower(regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1)) AS path FROM l), w AS (SELECT *, path || ' ' || said AS t FROM p WHERE link <> regexp_replace(url, '/+$', '') AND NOT list_has_any(string_split(path, '/'), [{quoted(K.SKIPPED_SEGMENTS)}])),
+    s AS (SELECT page_id, link, nr, greatest({_link_score("t", ", ")}) AS top, {_link_score("t", " + ")} AS total FROM w),
+    o AS (SELECT page_id, link, min(nr) AS nr, arg_min(top, nr) AS top, arg_min(total, nr) AS total FROM s GROUP BY 1, 2)
+    SELECT page_id, link, top, total, row_number() OVER (PARTITION BY page_id ORDER BY top DESC, total DESC, nr)::INT AS place FROM o QUALIFY place < {K.MOST_PAGES}"""
+)
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subpages worth reading, the strongest words first."""
     return evidence.subpages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -656,7 +696,22 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("total", F.round("total", 4))
 
 
-@query()
+_GRID = """SELECT '{"big":"' || b.s || '","returned":"' || r.s || '","discount":"' || d.s || '","bulk":"' || k.s || '"}' AS states, b.s AS b, k.s AS k, k.s = 'not_found' AND d.s = 'yes' AS inferred,
+      (b.s = 'yes')::INT + (r.s = 'yes')::INT + (d.s = 'yes')::INT + (k.s = 'yes')::INT AS n, CASE b.s WHEN 'yes' THEN 40.0 WHEN 'no' THEN -5.0 ELSE 0.0 END + CASE r.s WHEN 'yes' THEN -20.0 ELSE 0.0 END + CASE d.s WHEN 'yes' THEN 25.0 WHEN 'no' THEN 0.0 ELSE -5.0 END
+        + CASE WHEN k.s = 'yes' THEN 35.0 WHEN k.s = 'not_found' AND d.s = 'yes' THEN 21.0 ELSE 0.0 END AS got
+    FROM (VALUES ('yes'), ('no'), ('not_found')) b(s), (VALUES ('yes'), ('no'), ('not_found')) r(s), (VALUES ('yes'), ('no'), ('not_found')) d(s), (VALUES ('yes'), ('no'), ('not_found')) k(s)"""
+_GRADED = f"""SELECT *, b = 'yes' AND fit >= 50 AS promoted, least(CASE WHEN b = 'yes' AND fit >= 50 OR fit >= 90 THEN 3 ELSE 1 END, CASE b WHEN 'yes' THEN 3 WHEN 'no' THEN 1 ELSE 2 END, CASE WHEN k = 'yes' OR k = 'not_found' AND NOT inferred THEN 2 ELSE 3 END) AS rank
+    FROM (SELECT *, greatest(0, least(100, round_even(got, 0)))::INT AS fit, CASE WHEN n + inferred::INT = 0 THEN 30 ELSE round_even((90.0 * n + 65 * inferred::INT) / (n + inferred::INT), 0)::INT END AS confidence_score FROM ({_GRID}))"""
+
+
+@query(
+    f"""
+    SELECT states, fit AS bullseye_score, confidence_score, CASE WHEN n = 0 OR fit < 50 THEN 'Manual Review' ELSE ['Contender', 'Needs Verification', 'Bullseye'][rank] END AS target_tier,
+      CASE WHEN n = 0 THEN 'No confirmed signals on the site — manual review required before calling.' WHEN fit < 50 THEN 'Score ' || fit || ' is below the 50-point evidence floor — too thin to call without review.' WHEN rank = 3 THEN ''
+        ELSE array_to_string(list_filter([CASE WHEN b = 'no' THEN 'Must-have ''Big order'' confirmed absent → capped at Contender.' END, CASE WHEN k = 'yes' THEN 'Bulk confirmed → capped at Needs Verification.' END,
+          CASE WHEN b = 'not_found' THEN 'Must-have ''Big order'' not found on the site → needs verification.' END, CASE WHEN k = 'not_found' AND NOT inferred THEN chr(39) || 'Bulk'' needs verification before Bullseye.' END, CASE WHEN fit < 90 AND NOT promoted THEN 'Score is below the Bullseye threshold.' END], lambda x: x IS NOT NULL), ' ') END AS tier_cap_reason
+    FROM ({_GRADED})"""
+)
 def score_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every combination of signal states with its score and tier."""
     return enrichment.simulated(spark, DEFS, rules.RunConfig(), {d.signal_id: K.STATES for d in DEFS}).select(F.to_json("states").alias("states"), "bullseye_score", "confidence_score", "target_tier", "tier_cap_reason")

@@ -18,7 +18,7 @@ from sieveworks.operators import evidence, match, metrics, overlay, passes, regi
 from sieveworks.operators import signals as S
 from sieveworks.operators.graph import placed, shared_folder, written
 from sieveworks.plans import config, enrichment
-from sieveworks.queries import _BARE, _REVIEWED, _SCORES, _STATES, _TIER, DEFS, _orders, _practices, _reviewed
+from sieveworks.queries import _BARE, _REVIEWED, _SCORES, _STATES, _TIER, DEFS, _doubtful, _orders, _reviewed
 from sieveworks.sources import readers, writers
 
 NOW = "2026-01-02T03:04:05+00:00"
@@ -790,18 +790,6 @@ def consolidation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("input_count", "output_count", "merged_groups", F.col("distinct_providers").cast("long").alias("distinct_providers"), "review_pairs", "cross_address_merges", "rows_merged_away", metrics.collapse_rate(F.col("output_count"), F.col("input_count")).alias("collapse_rate"))
 
 
-def _doubtful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers in pairs that should not merge by themselves: by their number, corroborated, without a phone, or of two units."""
-    c = F.col
-    k = c("c_custkey")
-    g, kind, second = F.floor(k / 2), F.floor(k / 2) % 3, k % 2 == 1
-    phone = F.concat(F.lit("415555"), F.lpad((g % 10000).cast("string"), 4, "0"))
-    return table(spark, sf_dir, "customer").select(
-        k.cast("string").alias("id"), F.when(second, F.concat(F.lit("Zygo Optics "), k.cast("string"))).otherwise(F.concat(F.lit("Bay Heart Clinic "), k.cast("string"))).alias("practice_name"), F.concat(g.cast("string"), F.lit(" Oak St")).alias("address_street"), F.lpad((10000 + g % 80000).cast("string"), 5, "0").alias("address_zip"),
-        F.when((kind == 1) & second, "").otherwise(phone).alias("phone"), F.when(kind == 0, F.concat(F.lit("https://d"), k.cast("string"), F.lit(".com"))).otherwise("").alias("website_url"), F.when(kind == 2, F.concat(F.lit("Ste "), (k % 2 + 1).cast("string"))).otherwise("").alias("address_unit"),
-    )
-
-
 _DOUBT = """SELECT g, g % 3 AS kind, count(*) AS n FROM (SELECT floor(c_custkey / 2)::BIGINT AS g FROM customer) GROUP BY 1 HAVING count(*) = 2"""
 
 
