@@ -2,8 +2,8 @@
 
 Candidates come from two equi-joins, one on (ZIP, street) and one on (phone, domain) with small blocks only. Pairs are scored by
 column expressions; name likeness is computed only for pairs whose lengths allow it. Merge edges split into components, and only
-inside a component does the order of edges matter: one grouped step applies them, strongest first, and refuses those that would
-put two units of one building in one cluster.
+inside a component that names two units of a street does the order of edges matter: one grouped step applies them, strongest
+first, and refuses those that would put two units of one building in one cluster.
 """
 
 from __future__ import annotations
@@ -170,7 +170,14 @@ def clustered(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     roots = components(flat.select("a", "b"))
     held = flat.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    done = written(held.groupBy("root").applyInPandas(lambda x: _unions(x), "a long, b long, applied boolean, cluster_a long, cluster_b long"), "unions")
+    held = written(held, "strong")
+    # Only where a component names two units of one street can the order of its edges matter; elsewhere all of them apply.
+    ends = F.explode(F.array(*[F.struct(F.col(f"street_{s}").alias("street"), F.col(f"unit_{s}").alias("unit")) for s in "ab"])).alias("e")
+    units = held.select("root", ends).select("root", "e.*").where("street <> '' and unit <> ''").groupBy("root", "street").agg(F.min("unit").alias("x"), F.max("unit").alias("y"))
+    risky = units.where("x <> y").select("root").distinct()
+    plain = held.join(risky, "root", "left_anti").select("a", "b", F.lit(True).alias("applied"), F.col("root").alias("cluster_a"), F.col("root").alias("cluster_b"))
+    ordered = held.join(risky, "root", "left_semi").groupBy("root").applyInPandas(lambda x: _unions(x), "a long, b long, applied boolean, cluster_a long, cluster_b long")
+    done = written(plain.unionByName(ordered), "unions")
     of_row = done.select(F.explode(F.array(F.struct(F.col("a").alias("row"), F.col("cluster_a").alias("cluster")), F.struct(F.col("b").alias("row"), F.col("cluster_b").alias("cluster")))).alias("x")).select("x.*").distinct()
     out = rows.join(of_row, "row", "left").withColumn("cluster", F.coalesce("cluster", "row"))
     marked = pairs.withColumns({"_x": F.col("a.row"), "_y": F.col("b.row")}).join(done.select(F.col("a").alias("_x"), F.col("b").alias("_y"), "applied"), ["_x", "_y"], "left").drop("_x", "_y")

@@ -859,8 +859,8 @@ def name_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'No website URL provided — nothing to crawl.' WHEN 1 THEN 'Website could not be reached: timeout. Try ''Re-crawl with Browser'' or paste the page content manually.' WHEN 2 THEN 'Website returned no readable text — likely a bot/security wall or a script-rendered page. Try ''Re-crawl with Browser'' or paste the page content manually.'
         ELSE 'Website returned only 9 characters of text (under the minimum needed to evaluate). Paste fuller page content manually to enrich.' END AS no_context,
-      CASE WHEN o_custkey >= 60 THEN (o_custkey // 60) || 'm ' || lpad((o_custkey % 60)::VARCHAR, 2, '0') || 's' ELSE o_custkey || 's' END AS took, o_orderkey % 4 = 2 AS ours, CASE WHEN o_orderkey % 2 = 0 THEN 'Evidence on the site is limited — thin.' ELSE 'Fine.' END AS told,
-      CASE WHEN o_totalprice > 200000 THEN 'HIGH' ELSE 'LOW' END || ' FIT / ' || CASE WHEN o_orderkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END || ' EVIDENCE' AS quadrant, CASE WHEN o_orderkey % 3 = 0 THEN 'limited' ELSE 'complete' END AS recovered, o_orderkey % 3 = 1 AS browser, 60.0::DOUBLE AS rate, 2.0::DOUBLE AS minutes_left FROM orders WHERE o_custkey < 3600"""
+      CASE WHEN o_custkey % 3600 >= 60 THEN (o_custkey % 3600 // 60) || 'm ' || lpad((o_custkey % 60)::VARCHAR, 2, '0') || 's' ELSE o_custkey % 3600 || 's' END AS took, o_orderkey % 4 = 2 AS ours, CASE WHEN o_orderkey % 2 = 0 THEN 'Evidence on the site is limited — thin.' ELSE 'Fine.' END AS told,
+      CASE WHEN o_totalprice > 200000 THEN 'HIGH' ELSE 'LOW' END || ' FIT / ' || CASE WHEN o_orderkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END || ' EVIDENCE' AS quadrant, CASE WHEN o_orderkey % 3 = 0 THEN 'limited' ELSE 'complete' END AS recovered, o_orderkey % 3 = 1 AS browser, 60.0::DOUBLE AS rate, 2.0::DOUBLE AS minutes_left FROM orders"""
 )
 def record_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts and marks of a record: why there is no text, durations, voice, safe reasons, quadrant, recovery, browser."""
@@ -868,8 +868,8 @@ def record_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, even = c("o_orderkey"), c("o_orderkey") % 2 == 0
     rate, left = progress(F.lit(10), F.lit(130), F.lit(10.0))
     confidence = F.when(k % 3 == 0, "limited").otherwise("partial")
-    return table(spark, sf_dir, "orders").where("o_custkey < 3600").select(
-        "o_orderkey", S.no_context(F.when(k % 4 > 0, "u").otherwise(""), F.when(k % 4 == 1, "timeout").otherwise(""), F.when(k % 4 == 3, " nine char ").otherwise(" ")).alias("no_context"), duration(c("o_custkey")).alias("took"),
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", S.no_context(F.when(k % 4 > 0, "u").otherwise(""), F.when(k % 4 == 1, "timeout").otherwise(""), F.when(k % 4 == 3, " nine char ").otherwise(" ")).alias("no_context"), duration(c("o_custkey") % 3600).alias("took"),
         views.first_person(F.when(k % 4 == 2, "Ask how WE can help").otherwise("They are west of us-less towns".replace("us-less", "useless"))).alias("ours"), views.client_reason(F.when(even, "Score 40 is below the 50-point evidence floor — thin.").otherwise("Fine.")).alias("told"),
         S.quadrant(F.when(c("o_totalprice") > 200000, 70).otherwise(69), F.when(even, 65).otherwise(64)).alias("quadrant"), evidence.recovered(confidence, F.lit(True), F.lit(False), F.lit("complete")).alias("recovered"),
         evidence.needs_browser(F.lit("u"), F.when(k % 3 == 1, "short").otherwise(F.repeat(F.lit("x"), 200)), F.lit("complete")).alias("browser"), rate.alias("rate"), left.alias("minutes_left"),
