@@ -130,7 +130,8 @@ def practices(spark, rows=PRACTICES):
 def test_consolidation(spark):
     locations, asked, summary = resolve.consolidate(practices(spark))
     found = {tuple(r["source_row_ids"]): r for r in locations.collect()}
-    assert set(found) == {("1", "2", "4"), ("3",), ("5", "6"), ("7",), ("8",), ("9",)} or set(found) == {("1", "2"), ("3", "4"), ("5", "6"), ("7",), ("8",), ("9",)}
+    # 1-4 and 3-4 are equally strong; 1-4 is first by signature, and 3 is another suite than 1.
+    assert set(found) == {("1", "2", "4"), ("3",), ("5", "6"), ("7",), ("8",), ("9",)}
     assert found[("5", "6")]["consolidation"]["score"] == 6
     one = summary.first()
     assert one["input_count"] == 9 and one["output_count"] == 6 and one["rows_merged_away"] == 3 and one["unblocked_count"] == 1 and one["cross_address_merges"] == 1
@@ -162,7 +163,8 @@ def test_contact_blocks_have_a_limit(spark):
     assert locations.count() == 13 and summary.first()["contact_blocks_skipped"] == 1
     assert locations.select("location_count").distinct().collect()[0][0] == 13
     joined, _, _ = resolve.consolidate(practices(spark, many[:12]))
-    assert joined.count() == 1 and joined.first()["practice_name_source"] in ("placeholder", "domain_derived", "source_row_organization", "source_row")
+    # No number registry name, no organization's word, several providers, and a domain that does not read as a name.
+    assert joined.count() == 1 and joined.first()["practice_name_source"] == "placeholder"
 
 
 def test_suppression(spark):
