@@ -403,7 +403,14 @@ def block_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.block_sizes(rows).where("path = 'address'")
 
 
-@query()
+@query(
+    """
+    WITH r AS (SELECT c_custkey AS k, c_custkey // 3 AS s, c_custkey // 6 AS p FROM customer), f AS (SELECT *, lpad((s % 90000)::VARCHAR, 5, '1') AS zip, s || ' main street' AS street, CASE WHEN k % 4 = 0 THEN 'suite ' || (k % 7 + 1) ELSE '' END AS unit, '415555' || lpad((p % 10000)::VARCHAR, 4, '0') AS phone FROM r),
+    b AS (SELECT p, count(*)::INT AS n, arg_min(row(zip, street, unit, phone, s || ' Main St' || CASE WHEN k % 4 = 0 THEN ' Ste ' || (k % 7 + 1) ELSE '' END), CASE WHEN k % 5 > 0 THEN '0' ELSE '1' END || zip || '|' || street || '|' || unit || '|' || phone || '|example.com|practice ' || p || '|' || k) AS x FROM f GROUP BY 1),
+    l AS (SELECT p, n, x[1] AS zip, x[2] AS street, x[3] AS unit, x[4] AS phone, x[5] AS line, 'P-' || left(sha256('addr|' || x[1] || '|' || x[2] || '|' || x[3]), 12) AS practice_id FROM b)
+    SELECT practice_id, 'Practice ' || p AS practice_name, 'source_row_organization' AS practice_name_source, street AS address_street_normalized, unit AS address_unit_normalized, zip AS address_zip, phone, 1 AS provider_count, n AS n_rows, 12 AS score,
+      'G-' || left(sha256('domain|example.com'), 12) AS group_id, row_number() OVER (ORDER BY zip, line, unit, practice_id)::INT AS location_index, count(*) OVER ()::INT AS location_count FROM l"""
+)
 def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to locations: blocking, scores, unit-aware clusters, merge, ids and groups."""
     locations, _, _ = resolve.consolidate(_practices(spark, sf_dir))
