@@ -162,3 +162,25 @@ def test_clusters_against_plain_unions(spark, seed):
     got = {tuple(r["source_row_ids"]) for r in locations.collect()}
     assert got == plain_clusters(rows)
     assert any(len(c) > 3 for c in got)
+
+
+def test_fuzzy_names_against_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    base = ["bay heart clinic", "north valley eye care", "foot and ankle center"]
+    rows = []
+    for i in range(60):
+        name = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            name[rng.randrange(len(name))] = rng.choice("abcxyz")
+        rows.append((i, "".join(name), rng.choice(["CA", "NV"])))
+    frame = spark.createDataFrame(rows, "row_idx long, practice_name string, address_state string")
+    got = {(r["left"], r["right"]): round(r["ratio"], 9) for r in match.fuzzy_names(frame).collect()}
+    want = {}
+    for (i, a, s), (j, b, t) in itertools.combinations(rows, 2):
+        ratio = SequenceMatcher(None, a, b).ratio()
+        if s == t and 0.82 <= ratio < 1:
+            want[i, j] = round(ratio, 9)
+    assert got == want and want
+    assert match.fuzzy_names(frame, most_rows=59).count() == 0
