@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 
 #: Pieces that a worker remembers (a full memory is emptied), and the longest of them, in bytes; longer ones are merged one by
 #: one. Only speed depends on these.
-REMEMBERED, LONGEST = 100_000, 32
+REMEMBERED, LONGEST = 200_000, 32
 #: Documents in one batch that goes back to Spark.
-ROWS, CHARS = 256, 1_000_000
+ROWS, CHARS = 512, 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -260,7 +260,7 @@ def test_rules_and_tokens_in_small_parts(spark):
     docs = spark.createDataFrame([(i, "word " * 60 + "#" * i) for i in range(30)], "doc_id long, text string")
     figures = rules.measured(docs, sample_rows=10)
     assert [f.name for f in figures] == [r.name for r in rules.RULES] and all(f.seconds >= 0 for f in figures)
-    batch = pa.RecordBatch.from_pydict({"_text": ["a" * n for n in (5, 750_000, 500_000, 2_250_000, 1)] + [None]})
+    batch = pa.RecordBatch.from_pydict({"_text": ["a" * n for n in (5, 1_500_000, 1_000_000, 4_500_000, 1)] + [None]})
     assert [part.num_rows for part in bpe._cut_small(batch)] == [2, 1, 1, 2]
 
 
