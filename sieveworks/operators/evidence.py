@@ -26,9 +26,14 @@ def budgeted(pages: DataFrame, key: str, order: str, size: Column, most: int = K
 
 
 def context(pages: DataFrame, key: str = "record_id", order: str = "page_no", url: str = "url", text: str = "text", most: int = K.CONTEXT_CHARS) -> DataFrame:
-    """``key, context_text``: a record's pages in order with their sources, cut at the budget with a mark."""
+    """``key, context_text``: a record's pages in order with their sources, cut at the budget with a mark.
+
+    Pages that begin beyond the budget go before pages are gathered, so a record's row is bounded.
+    """
     part = F.concat(F.lit("[Source: "), F.col(url), F.lit("]\n"), F.col(text))
-    joined = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p")))).alias("l"))
+    parts = pages.select(key, F.col(order).alias("o"), part.alias("p"))
+    near = budgeted(parts, key, "o", F.length("p"), most + 1, 1 << 30)
+    joined = near.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "p"))).alias("l"))
     whole = F.array_join(F.transform("l", lambda x: x["p"]), "\n\n---\n\n")
     cut = F.concat(F.substring(whole, 1, most), F.lit("\n\n[... content trimmed for token budget ...]"))
     return joined.select(key, F.when(F.length(whole) > most, cut).otherwise(whole).alias("context_text"))
