@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveworks import constants as K
 from sieveworks.functions import addresses, names, phones, urls
 from sieveworks.functions.text import blank, first_filled, strip
+from sieveworks.operators import overlap
 from sieveworks.operators.graph import written
 from sieveworks.operators.rules import taxonomy_rules
 
@@ -22,31 +23,33 @@ def suppression(records: DataFrame, customers: DataFrame) -> DataFrame:
     """``records`` with ``customer_suppressed`` and ``suppression_reason``.
 
     ``customers`` has ordinal, npi, name, zip and state. In this order: the record's own numbers, a provider's number, two
-    shared words and the ZIP, three shared words and the state; of several customers the first in the list decides. Words are
-    joined on (place, word), so a place with many customers is never paired whole. Rows are numbered once and written, as each
-    branch would else number them anew.
+    shared words and the ZIP, three shared words and the state; of several customers the first in the list decides. Names meet
+    by the combinations of their words, so a word that a whole state shares pairs no rows. Rows are numbered once and written,
+    as each branch would else number them anew, and customers with their words, as each place would else split names anew.
     """
     c = F.col
-    rows = written(records.drop("customer_suppressed", "suppression_reason").withColumn("_row", F.monotonically_increasing_id()), "suppression")
-    npis = customers.where(strip(c("npi")) != "").select(strip(c("npi")).alias("npi")).distinct()
-    own = rows.select("_row", F.posexplode(F.array(strip(c("npi_number")), strip(c("npi_optional")))).alias("at", "npi")).where("npi <> ''")
-    people = rows.select("_row", F.posexplode("providers").alias("at", "p")).select("_row", (c("at") + 10).alias("at"), strip(c("p.npi")).alias("npi"), strip(c("p.name")).alias("who")).where("npi <> ''")
-    by_own = own.join(npis, "npi").select("_row", "at", F.concat(F.lit("Existing customer — NPI match: "), c("npi")).alias("why"))
-    shown = F.when(c("who") != "", F.concat(c("who"), F.lit(" (NPI "), c("npi"), F.lit(")"))).otherwise(F.concat(F.lit("NPI "), c("npi")))
-    by_people = people.join(npis, "npi").select("_row", "at", F.concat(F.lit("Existing customer — provider at this location is a current customer: "), shown).alias("why"))
-
-    def by_words(place, own_place: Column, listed_place: Column, least: int, rank: int, label: str) -> DataFrame:
-        mine = rows.select("_row", own_place.alias("place"), F.explode(names.tokens(c("practice_name"))).alias("word")).where("place <> ''")
-        theirs = customers.select("ordinal", strip(c("name")).alias("said"), listed_place.alias("place"), F.explode(names.tokens(c("name"))).alias("word")).where("place <> ''")
-        shared = mine.join(theirs, ["place", "word"]).groupBy("_row", "ordinal").agg(F.count("*").alias("n"), F.first("said").alias("said")).where(c("n") >= least)
-        first = shared.groupBy("_row").agg(F.min_by("said", "ordinal").alias("said"))
-        return first.select("_row", F.lit(rank).alias("at"), F.concat(F.lit(f"Existing customer — {label} match: "), c("said")).alias("why"))
-
-    found = by_own.unionByName(by_people)
-    found = found.unionByName(by_words("zip", addresses.zip5(c("address_zip")), addresses.zip5(c("zip")), K.ZIP_TOKENS, 1_000_000, "name+ZIP"))
-    found = found.unionByName(by_words("state", addresses.state2(c("address_state")), addresses.state2(c("state")), K.STATE_TOKENS, 2_000_000, "name+state"))
+    rows = records.drop("customer_suppressed", "suppression_reason").withColumns({"_row": F.monotonically_increasing_id(), "_words": names.tokens(c("practice_name"))})
+    rows = written(rows, "suppression")
+    listed = written(customers.select("ordinal", strip(c("npi")).alias("npi"), strip(c("name")).alias("said"), names.tokens(c("name")).alias("words"), addresses.zip5(c("zip")).alias("zip"), addresses.state2(c("state")).alias("state")), "customers")
+    npis = listed.where("npi <> ''").select("npi").distinct()
+    numbers = F.array(strip(c("npi_number")), strip(c("npi_optional")))
+    own = F.transform(numbers, lambda n, i: F.struct(i.alias("at"), n.alias("npi"), F.concat(F.lit("Existing customer — NPI match: "), n).alias("why")))
+
+    def person(p: Column, i: Column) -> Column:
+        npi, who = strip(p["npi"]), strip(p["name"])
+        shown = F.when(who != "", F.concat(who, F.lit(" (NPI "), npi, F.lit(")"))).otherwise(F.concat(F.lit("NPI "), npi))
+        return F.struct((i + 2).alias("at"), npi.alias("npi"), F.concat(F.lit("Existing customer — provider at this location is a current customer: "), shown).alias("why"))
+
+    people = F.coalesce(F.transform("providers", person), F.array().cast("array<struct<at:int,npi:string,why:string>>"))
+    found = rows.select("_row", F.explode(F.concat(own, people)).alias("n")).select("_row", "n.*").where("npi <> ''").join(npis, "npi").select("_row", "at", "why")
+    places = [("zip", addresses.zip5(c("address_zip")), K.ZIP_TOKENS, 1_000_000, "name+ZIP"), ("state", addresses.state2(c("address_state")), K.STATE_TOKENS, 2_000_000, "name+state")]
+    for place, own_place, least, rank, label in places:
+        mine = rows.select(c("_row").alias("row"), own_place.alias("place"), c("_words").alias("words"))
+        first = overlap.first_sharing(mine, listed.select("ordinal", c(place).alias("place"), "words"), least)
+        why = F.concat(F.lit(f"Existing customer — {label} match: "), c("said"))
+        found = found.unionByName(first.join(listed.select("ordinal", "said"), "ordinal").select(c("row").alias("_row"), F.lit(rank).alias("at"), why.alias("why")))
     reason = found.groupBy("_row").agg(F.min_by("why", "at").alias("suppression_reason"))
-    out = rows.join(reason, "_row", "left").drop("_row")
+    out = rows.join(reason, "_row", "left").drop("_row", "_words")
     return out.withColumn("customer_suppressed", c("suppression_reason").isNotNull()).withColumn("suppression_reason", blank(c("suppression_reason")))
 
 
@@ -185,22 +188,38 @@ def npi_lookup(records: DataFrame, snapshot: DataFrame, rules: dict[str, str] |
     """``records`` with number, confidence, entity type, codes, name and count from a snapshot of the number registry.
 
     A row's own number wins. Else, in its ZIP, organizations ahead of persons, the first candidate (by number) whose name or
-    phone agrees; candidates without agreement are ambiguous. Candidates share a ZIP and a word of the name, or the phone. Rows
-    are numbered once and written.
+    phone agrees; candidates without agreement are ambiguous. Candidates share a ZIP and a word of the name, or the phone. The
+    phone counts as one more word; the candidate that agrees is found by words or pairs of words, and candidates are counted
+    without being paired. Rows are numbered once and written, and the snapshot with its words and its order.
     """
     c = F.col
     rows = written(records.withColumn("_row", F.monotonically_increasing_id()), "lookup")
     org = F.when(c("enumeration_type") == "NPI-2", "organization").otherwise("individual")
     card = F.struct(c("number").alias("npi_number"), org.alias("npi_entity_type"), F.coalesce("taxonomy_codes", F.array().cast("array<string>")).alias("codes"), F.nullif(strip(c("organization_name")), F.lit("")).alias("npi_practice_name"))
-    listed = snapshot.select(card.alias("card"), c("number").alias("num"), (c("enumeration_type") != "NPI-2").alias("person"), addresses.zip5(c("postal_code")).alias("zip"), phones.exact(c("telephone_number")).alias("tel"), c("organization_name").alias("called"))
+    phone = lambda tel: F.when(tel != "", F.concat(F.lit("tel:"), tel))
+    listed = snapshot.select(
+        card.alias("card"), c("number").alias("num"), (~F.coalesce(c("enumeration_type") == "NPI-2", F.lit(False))).alias("person"), addresses.zip5(c("postal_code")).alias("place"),
+        phone(phones.exact(c("telephone_number"))).alias("tel"), names.tokens(c("organization_name")).alias("said"),
+    ).where("num is not null")
+    listed = written(listed, "snapshot")
     direct = rows.select("_row", strip(c("npi_optional")).alias("num")).where("num <> ''").join(listed.dropDuplicates(["num"]), "num").select("_row", c("card").alias("direct"))
-    mine = rows.select("_row", addresses.zip5(c("address_zip")).alias("zip"), phones.exact(c("phone")).alias("tel"), strip(c("practice_name")).alias("name")).where("zip <> '' and name <> ''")
-    by_word = mine.withColumn("w", F.explode(names.tokens(c("name")))).join(listed.withColumn("w", F.explode(names.tokens(c("called")))).withColumnRenamed("tel", "tel2"), ["zip", "w"])
-    by_phone = mine.where("tel <> ''").join(listed.withColumn("tel2", c("tel")), ["zip", "tel"]).withColumn("w", F.lit(""))
-    columns = ["_row", "name", "tel", "tel2", "called", "person", "num", "card"]
-    near = by_word.select(columns).unionByName(by_phone.select(columns)).dropDuplicates(["_row", "num"])
-    ok = names.agree(c("name"), c("called")) | ((c("tel") != "") & (c("tel") == c("tel2")))
-    found = near.groupBy("_row").agg(F.min_by(F.when(ok, c("card")), F.struct(~ok, "person", "num")).alias("found"), F.count("*").alias("_n"))
+    mine = rows.select(c("_row").alias("row"), addresses.zip5(c("address_zip")).alias("place"), phone(phones.exact(c("phone"))).alias("tel"), strip(c("practice_name")).alias("name")).where("place <> '' and name <> ''").withColumn("said", names.tokens(c("name")))
+
+    def keyed(side: DataFrame, one: str, *keep: str) -> DataFrame:
+        """By what a name can agree: pairs of words, a word where either name has no other, the phone."""
+        sorted_ = side.withColumn("w", F.array_sort("said"))
+        keys = F.concat(F.expr(overlap.combinations("w", 2)), F.expr(one), F.array_compact(F.array("tel")))
+        return sorted_.select(*keep, "place", F.explode(keys).alias("key"))
+
+    # A listed word stands as "any:" for names of one word, and a listed name of one word as "one:" for all others.
+    order = F.struct("person", "num")
+    best = keyed(listed, "concat(transform(w, x -> concat('any:', x)), if(size(w) = 1, transform(w, x -> concat('one:', x)), array()))", "card", "person", "num").groupBy("place", "key").agg(F.min(order).alias("order"), F.min_by("card", order).alias("card"))
+    asked = keyed(mine, "concat(if(size(w) = 1, transform(w, x -> concat('any:', x)), array()), if(size(w) > 1, transform(w, x -> concat('one:', x)), array()))", "row")
+    agreed = asked.join(best, ["place", "key"]).groupBy("row").agg(F.min_by("card", "order").alias("found"))
+    numbered = listed.dropDuplicates(["num", "place", "said", "tel"]).withColumn("ordinal", F.monotonically_increasing_id())
+    words = F.concat("said", F.array_compact(F.array("tel"))).alias("words")
+    counted = overlap.count_sharing(mine.select("row", "place", words), numbered.select("ordinal", "place", words))
+    found = counted.join(agreed, "row", "left").select(c("row").alias("_row"), "found", c("n").alias("_n"))
     out = rows.join(direct, "_row", "left").join(found, "_row", "left").withColumn("_card", F.coalesce("direct", "found"))
     codes = F.coalesce("_card.codes", F.array().cast("array<string>"))
     return out.withColumns(

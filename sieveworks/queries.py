@@ -366,6 +366,43 @@ def customer_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.suppression(rows.repartition(8), listed).select("p_partkey", "customer_suppressed", "suppression_reason")
 
 
+@query(
+    """
+    WITH r AS (SELECT p_partkey AS k, p_name || ' ' || lower(p_type) || ' b' || regexp_extract(p_brand, '([0-9]+)', 1) AS name, p_size % 7 AS own, p_partkey % 7 AS listed FROM part),
+    t AS (SELECT k, own, listed, unnest(list_distinct(string_split(name, ' '))) AS w FROM r), m AS (SELECT a.k, b.k AS other FROM t a JOIN t b ON a.own = b.listed AND a.w = b.w GROUP BY 1, 2 HAVING count(*) >= 3)
+    SELECT r.k AS p_partkey, f.other IS NOT NULL AS customer_suppressed, coalesce('Existing customer — name+state match: ' || q.name, '') AS suppression_reason
+    FROM r LEFT JOIN (SELECT k, min(other) AS other FROM m GROUP BY 1) f USING (k) LEFT JOIN r q ON q.k = f.other"""
+)
+def suppression_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share three words and a state with a listed customer (E7): all parts against all parts in states of their own."""
+    c = F.col
+    state = lambda n: F.element_at(F.array(*[F.lit(x) for x in ("CA", "tx", "NY ", "FL", "WA", "or", "NV")]), n.cast("int") + 1)
+    part = table(spark, sf_dir, "part").withColumn("name", F.concat_ws(" ", "p_name", F.lower("p_type"), F.concat(F.lit("b"), F.regexp_extract("p_brand", r"(\d+)", 1))))
+    none = F.array().cast("array<struct<name:string,npi:string>>")
+    rows = part.select("p_partkey", c("name").alias("practice_name"), F.lit("").alias("address_zip"), state(c("p_size") % 7).alias("address_state"), F.lit("").alias("npi_number"), F.lit("").alias("npi_optional"), none.alias("providers"))
+    listed = part.select(c("p_partkey").alias("ordinal"), F.lit("").alias("npi"), "name", F.lit("").alias("zip"), state(c("p_partkey") % 7).alias("state"))
+    return match.suppression(rows, listed).select("p_partkey", "customer_suppressed", "suppression_reason")
+
+
+@query(
+    """
+    WITH p AS (SELECT o_custkey, arg_min('Existing customer — provider at this location is a current customer: ' || o_orderpriority || ' (NPI ' || o_orderkey || ')', o_orderkey) AS why FROM orders JOIN part ON p_partkey = o_orderkey GROUP BY 1)
+    SELECT c_custkey, coalesce('Existing customer — NPI match: ' || coalesce(a.p_partkey, b.p_partkey), why, '') AS suppression_reason
+    FROM customer LEFT JOIN part a ON a.p_partkey = c_custkey * 3 LEFT JOIN part b ON b.p_partkey = c_custkey * 2 + 100 LEFT JOIN p ON o_custkey = c_custkey"""
+)
+def suppression_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose own numbers, of either kind, or a provider's number are a listed customer's (E6): orders as providers, parts as customers."""
+    c = F.col
+    who = F.struct(c("o_orderkey").alias("at"), c("o_orderpriority").alias("name"), c("o_orderkey").cast("string").alias("npi"))
+    people = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(who)).alias("people"))
+    rows = table(spark, sf_dir, "customer").join(people, c("c_custkey") == c("o_custkey"), "left").select(
+        "c_custkey", c("c_name").alias("practice_name"), F.lit("").alias("address_zip"), F.lit("").alias("address_state"), (c("c_custkey") * 3).cast("string").alias("npi_number"), (c("c_custkey") * 2 + 100).cast("string").alias("npi_optional"),
+        F.transform("people", lambda x: F.struct(x["name"].alias("name"), x["npi"].alias("npi"))).alias("providers"),
+    )
+    listed = table(spark, sf_dir, "part").select(c("p_partkey").alias("ordinal"), c("p_partkey").cast("string").alias("npi"), F.lit("").alias("name"), F.lit("").alias("zip"), F.lit("").alias("state"))
+    return match.suppression(rows, listed).select("c_custkey", "suppression_reason")
+
+
 @query(
     f"""
     WITH k AS (SELECT row_idx, 'd' AS b, domain AS v FROM ({_KEYED}) UNION ALL SELECT row_idx, 'p', path FROM ({_KEYED}) WHERE path <> ''),
