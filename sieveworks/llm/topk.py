@@ -31,14 +31,14 @@ from sieveworks.llm.common import materialize, shuffle_partitions
 
 K = 5
 SCALE = 256
-#: A shard has up to MOST_ROWS rows, about; to use all tasks, shards get smaller down to LEAST_ROWS and blocks of queries down to LEAST_QUERIES.
-MOST_ROWS, LEAST_ROWS, LEAST_QUERIES = 32768, 8192, 256
+#: A shard has up to MOST_ROWS rows, about, and blocks of queries get smaller down to LEAST_QUERIES to use all tasks.
+MOST_ROWS, LEAST_QUERIES = 32768, 256
 #: Components that a shard has at most, about, so that its index stays at some tens of megabytes whatever the vectors' length.
 MOST_COMPONENTS = 1 << 22
 #: Bits of an impact that are kept, and how often a query looks whether it may stop.
-BITS, LOOKS = 5, 8
+BITS, LOOKS = 5, 4
 #: A query may stop once so many rows, or this part of a shard, can still be members.
-FEW, PART = 64, 64
+FEW, PART = 64, 16
 
 _INDEX = "shard int, term int, lo long, hi long, packed binary"
 _VECTORS, _ROWS, _IDS = -3, -2, -1  # terms of a shard's vectors, row numbers and ids
@@ -121,14 +121,14 @@ class Shard:
         self.x = np.frombuffer(packed, f"i{size}").reshape(len(self.rows), self.width)
         segments = [p for p in parts if p[0] >= 0]
         self.term, self.lo, self.hi = (np.array([p[i] for p in segments], np.int64) for i in range(3))
-        self.places = [np.frombuffer(p[3], np.int32) for p in segments]
+        self.places = [np.frombuffer(p[3], np.int32).astype(np.int64) for p in segments]
         self.sizes = np.array([len(p) for p in self.places], np.int64)
         self.most = np.abs(self.x.astype(np.float64)).max(axis=0, initial=0)
         self.k, self.looked = k, 0
 
     def exact(self, places: np.ndarray, q: np.ndarray, small: bool) -> np.ndarray:
         if small:  # float products and their sums are whole numbers below 2^53
-            return (self.x[places].astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+            return np.einsum("ij,j->i", self.x[places].astype(np.float64), q.astype(np.float64)).astype(np.int64)
         return (self.x[places].astype(np.int64) * q).sum(axis=1)
 
     def members(self, q: np.ndarray, own: int | None) -> np.ndarray:
@@ -136,14 +136,16 @@ class Shard:
         promise = np.maximum(q[self.term] * self.lo, q[self.term] * self.hi)
         order = np.flatnonzero(promise > 0)
         order = order[np.argsort(-promise[order], kind="stable")]
-        sums, never = np.zeros(len(self.rows), np.int64), np.iinfo(np.int64).min // 2
+        sums, never = np.zeros(len(self.rows)), -np.inf  # whole numbers below 2^53
         cuts = np.searchsorted(np.cumsum(self.sizes[order]), np.linspace(0, self.sizes[order].sum(), LOOKS + 1)[1:-1]) if len(order) else []
         others = len(self.rows) - (own is not None)
         at, floor, best = 0, never, np.zeros(0, np.int64)
         for cut in [*cuts, len(order)]:
-            for s in order[at:cut].tolist():
-                sums[self.places[s]] += promise[s]
-            self.looked += int(self.sizes[order[at:cut]].sum())
+            if cut > at:
+                some = order[at:cut]
+                places = np.concatenate([self.places[s] for s in some.tolist()])
+                sums += np.bincount(places, np.repeat(promise[some], self.sizes[some]), len(sums))
+                self.looked += len(places)
             at = cut
             if others <= self.k:
                 continue
@@ -205,7 +207,7 @@ def search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
     rows = usable(vectors, vec_id, vector)
     n, asked, components = rows.agg(F.count("*"), F.count_if(queries), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
     tasks = shuffle_partitions(vectors.sparkSession)
-    across = max(1, -(-n // most_rows), -(-components // MOST_COMPONENTS), min(tasks, -(-n // LEAST_ROWS)))
+    across = max(1, -(-n // most_rows), -(-components // MOST_COMPONENTS))
     down = max(1, min(-(-tasks // across), -(-asked // LEAST_QUERIES)))
     index = build(rows, across)
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
