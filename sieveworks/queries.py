@@ -13,7 +13,7 @@ from sieveworks import constants as K
 from sieveworks.catalog import QUERIES, SQL, query, quoted, table
 from sieveworks.functions import addresses, html, names, phones, urls
 from sieveworks.functions.text import anchor, anchored, csv_safe, excerpt, safe_id, short_hash, slug, titled, truncated
-from sieveworks.operators import evidence, match, metrics, overlay, resolve, rules, views
+from sieveworks.operators import evidence, match, metrics, overlay, passages, resolve, rules, views
 from sieveworks.operators import signals as S
 from sieveworks.plans import enrichment
 from sieveworks.sources import readers
@@ -585,32 +585,42 @@ def evidence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.indexed(rows, "page_id").select("page_id", "file", "folder", "sha256", F.col("chars").cast("long").alias("chars"))
 
 
+_FOUND = """SELECT doc_id, item_id, next_id FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents) d
+    JOIN (SELECT item_id, coalesce(lead(item_id) OVER (ORDER BY item_id), min(item_id) OVER ()) AS next_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS q FROM benchmark) b ON q <> '' AND contains(t, q)"""
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Texts and the pairs of a text and a passage in it."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_key"), anchor(F.col("text")).alias("text"))
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_key"), anchor(F.col("text")).alias("passage"))
+    return texts, passages.find(texts, quotes)
+
+
 @query(
-    """
-    WITH s AS (SELECT doc_id, 1::BIGINT AS signal_id, coalesce(substring(text, 10, 30), '') AS q, text AS t FROM documents UNION ALL SELECT doc_id, 2, '~' || coalesce(substring(text, 10, 30), ''), text FROM documents)
-    SELECT doc_id, signal_id, CASE WHEN q = '' THEN 'no_quote' WHEN coalesce(t, '') = '' THEN 'missing' WHEN contains(trim(regexp_replace(lower(t), '\\s+', ' ', 'g')), trim(regexp_replace(lower(q), '\\s+', ' ', 'g'))) THEN 'anchored' ELSE 'missing' END AS status FROM s"""
+    f"""
+    WITH f AS ({_FOUND}), s AS (SELECT doc_id, item_id AS signal_id FROM f UNION SELECT doc_id, next_id FROM f)
+    SELECT s.doc_id, signal_id, CASE WHEN f.item_id IS NULL THEN 'missing' ELSE 'anchored' END AS status FROM s LEFT JOIN f ON f.doc_id = s.doc_id AND f.item_id = s.signal_id"""
 )
 def anchor_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether quotes stand in the pages that they are said to come from."""
+    """Whether quotes stand in the pages that they are said to come from.
+
+    Every passage that a text holds is a signal of that text, and the passage listed after it as well, which it may lack.
+    """
     c = F.col
-    docs = table(spark, sf_dir, "documents").select(c("doc_id").alias("record_id"), F.lit(1).alias("page_no"), "text")
-    own = F.coalesce(F.substring("text", 10, 30), F.lit(""))  # each text is asked for a piece of itself, and for one that it lacks
-    pieces = F.array(F.struct(F.lit(1).cast("long").alias("signal_id"), own.alias("evidence_text")), F.struct(F.lit(2).cast("long").alias("signal_id"), F.concat(F.lit("~"), own).alias("evidence_text")))
-    listed = docs.select("record_id", F.explode(pieces).alias("q")).select("record_id", "q.*")
-    return evidence.audit(listed, docs).select(c("record_id").alias("doc_id"), "signal_id", "status")
+    texts, found = _passages(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark").select(c("item_id").alias("passage_key"), c("text").alias("evidence_text"))
+    after = items.agg(F.array_sort(F.collect_list("passage_key")).alias("k")).select(F.explode(F.expr("transform(k, (x, i) -> named_struct('passage_key', x, 'next', k[(i + 1) % size(k)]))")).alias("p")).select("p.*")
+    asked = found.join(after, "passage_key").select("text_key", F.explode(F.array("passage_key", "next")).alias("passage_key")).distinct()
+    signals = asked.join(items, "passage_key").select(c("text_key").alias("record_id"), c("passage_key").alias("signal_id"), "evidence_text")
+    pages = texts.select(c("text_key").alias("record_id"), F.lit(1).alias("page_no"), "text")
+    return evidence.audit(signals, pages).select(c("record_id").alias("doc_id"), "signal_id", "status")
 
 
-@query(
-    """
-    SELECT doc_id, item_id AS signal_id FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents) d
-    JOIN (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS q FROM benchmark) b ON q <> '' AND contains(t, q)"""
-)
+@query(f"SELECT doc_id, item_id AS signal_id FROM ({_FOUND})")
 def passage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a passage and a text that holds it, of all passages and all texts."""
-    c = F.col
-    texts = table(spark, sf_dir, "documents").select("doc_id", anchor(c("text")).alias("t"))
-    quotes = table(spark, sf_dir, "benchmark").select(c("item_id").alias("signal_id"), anchor(c("text")).alias("q")).where("q <> ''")
-    return texts.join(F.broadcast(quotes), F.contains(c("t"), c("q"))).select("doc_id", "signal_id")
+    _, found = _passages(spark, sf_dir)
+    return found.select(F.col("text_key").alias("doc_id"), F.col("passage_key").alias("signal_id"))
 
 
 _UNSEEN = "html"
