@@ -2,8 +2,8 @@
 
 Candidates come from two equi-joins, one on (ZIP, street) and one on (phone, domain) with small blocks only. Pairs are scored by
 column expressions; name likeness is computed only for pairs whose lengths allow it. Merge edges split into components, and only
-inside a component that names two units of a street does the order of edges matter: one grouped step applies them, strongest
-first, and refuses those that would put two units of one building in one cluster.
+inside a component that names two units of a street does the order of edges matter: there they are applied strongest first, and
+refused where they would put two units of one building in one cluster (``clusters``).
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from sieveworks import constants as K
 from sieveworks.functions import addresses, names, phones, urls
 from sieveworks.functions.text import any_of, blank, first_filled, short_hash, strip
-from sieveworks.operators.graph import components, placed, written
+from sieveworks.operators import clusters
+from sieveworks.operators.graph import ONE_TASK, components, placed, written
 
 FIELDS = (
     "id", "practice_name", "specialty", "npi_optional", "npi_number", "npi_entity_type", "npi_practice_name", "google_place_id",
@@ -117,52 +118,24 @@ def scored(pairs: DataFrame, noise: list[str]) -> DataFrame:
     return out.select("a", "b", score.alias("score"), matched.alias("matched"))
 
 
-Units = dict[str, set[tuple[str, str]]]  # of a cluster: by street, ZIP and unit
-
-
-def _collide(few: Units, many: Units) -> bool:
-    """Whether a unit of one cluster and a unit of the other stand in one building and differ."""
-    for street, units in few.items():
-        for zip5, unit in units:
-            if any(other != unit and not (zip5 and other_zip and zip5 != other_zip) for other_zip, other in many.get(street, ())):
-                return True
-    return False
-
-
 def _unions(edges: pd.DataFrame) -> pd.DataFrame:
-    """Apply one component's edges, strongest first; ``applied`` tells which ones the unit rule let through."""
-    edges = edges.sort_values(["score", "sig_a", "sig_b"], ascending=[False, True, True])
-    root: dict[int, int] = {}
-    units: dict[int, Units] = {}
+    """One component's edges, strongest first; ``applied`` tells which ones the unit rule let through."""
+    edges = edges.sort_values(["score", "sig_a", "sig_b", "a", "b"], ascending=[False, True, True, True, True])
+    units: dict[int, clusters.Units] = {}
     for e in edges.itertuples():
         for row, zip5, street, unit in ((e.a, e.zip_a, e.street_a, e.unit_a), (e.b, e.zip_b, e.street_b, e.unit_b)):
-            root.setdefault(row, row)
-            units.setdefault(row, {street: {(zip5, unit)}} if unit and street else {})
+            if unit and street:
+                units[row] = {street: {(zip5, unit)}}
+    of = clusters.sequential(list(zip(edges["a"], edges["b"], strict=True)), units)
+    out = edges[["a", "b"]].assign(cluster_a=[of[x] for x in edges["a"]], cluster_b=[of[x] for x in edges["b"]])
+    return out.assign(applied=out["cluster_a"] == out["cluster_b"])[["a", "b", "applied", "cluster_a", "cluster_b"]]
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    applied = []
-    for e in edges.itertuples():
-        a, b = find(e.a), find(e.b)
-        few, many = (a, b) if len(units[a]) <= len(units[b]) else (b, a)
-        ok = a == b or not _collide(units[few], units[many])
-        if ok and a != b:
-            # The cluster with more streets takes the other in, so that a unit moves a logarithmic number of times.
-            root[few] = many
-            for street, own in units.pop(few).items():
-                units[many].setdefault(street, set()).update(own)
-        applied.append(ok)
-    out = edges[["a", "b"]].assign(applied=applied)
-    out["cluster_a"], out["cluster_b"] = [find(x) for x in out["a"]], [find(x) for x in out["b"]]
-    return out[["a", "b", "applied", "cluster_a", "cluster_b"]]
-
-
-def clustered(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``cluster`` (a row number), and the pairs with ``applied`` (null where no merge was due)."""
+def clustered(rows: DataFrame, pairs: DataFrame, one_task: int = ONE_TASK) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``cluster`` (a row number), and the pairs with ``applied`` (null where no merge was due).
+
+    A component with units that may collide is gone through in one task up to ``one_task`` edges and in rounds beyond.
+    """
     strong = pairs.where(F.col("score") >= K.MERGE_AT)
     flat = strong.select(
         F.col("a.row").alias("a"), F.col("b.row").alias("b"), "score", F.col("a.signature").alias("sig_a"), F.col("b.signature").alias("sig_b"),
@@ -174,10 +147,23 @@ def clustered(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Only where a component names two units of one street can the order of its edges matter; elsewhere all of them apply.
     ends = F.explode(F.array(*[F.struct(F.col(f"street_{s}").alias("street"), F.col(f"unit_{s}").alias("unit")) for s in "ab"])).alias("e")
     units = held.select("root", ends).select("root", "e.*").where("street <> '' and unit <> ''").groupBy("root", "street").agg(F.min("unit").alias("x"), F.max("unit").alias("y"))
-    risky = units.where("x <> y").select("root").distinct()
+    contested = units.where("x <> y").select("root", "street")
+    risky = held.join(contested.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.count("*").alias("n"))
+    risky = written(risky, "risky")
+    large = risky.where(F.col("n") > one_task).select("root")
     plain = held.join(risky, "root", "left_anti").select("a", "b", F.lit(True).alias("applied"), F.col("root").alias("cluster_a"), F.col("root").alias("cluster_b"))
-    ordered = held.join(risky, "root", "left_semi").groupBy("root").applyInPandas(lambda x: _unions(x), "a long, b long, applied boolean, cluster_a long, cluster_b long")
-    done = written(plain.unionByName(ordered), "unions")
+    small = risky.where(F.col("n") <= one_task)
+    done = plain.unionByName(held.join(small, "root", "left_semi").groupBy("root").applyInPandas(lambda x: _unions(x), "a long, b long, applied boolean, cluster_a long, cluster_b long"))
+    if not large.isEmpty():
+        mine = held.join(large, "root", "left_semi")
+        ranked = placed(mine.select("a", "b", "score", "sig_a", "sig_b"), [F.desc("score"), F.asc("sig_a"), F.asc("sig_b"), F.asc("a"), F.asc("b")], "rank").select("a", "b", "rank")
+        named = F.explode(F.array(*[F.struct(F.col(s).alias("node"), *[F.col(f"{f}_{s}").alias(f) for f in ("street", "zip", "unit")]) for s in "ab"])).alias("e")
+        keys = mine.select("root", named).select("root", "e.*").where("unit <> ''").join(contested, ["root", "street"], "left_semi").select("node", "street", "zip", "unit")
+        of = clusters.constrained(ranked, keys, one_task)
+        sides = [of.select(F.col("node").alias(s), F.col("cluster").alias(f"cluster_{s}")) for s in "ab"]
+        joined = ranked.select("a", "b").join(sides[0], "a").join(sides[1], "b")
+        done = done.unionByName(joined.withColumn("applied", F.col("cluster_a") == F.col("cluster_b")))
+    done = written(done, "unions")
     of_row = done.select(F.explode(F.array(F.struct(F.col("a").alias("row"), F.col("cluster_a").alias("cluster")), F.struct(F.col("b").alias("row"), F.col("cluster_b").alias("cluster")))).alias("x")).select("x.*").distinct()
     out = rows.join(of_row, "row", "left").withColumn("cluster", F.coalesce("cluster", "row"))
     marked = pairs.withColumns({"_x": F.col("a.row"), "_y": F.col("b.row")}).join(done.select(F.col("a").alias("_x"), F.col("b").alias("_y"), "applied"), ["_x", "_y"], "left").drop("_x", "_y")

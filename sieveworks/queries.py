@@ -479,6 +479,26 @@ def consolidation_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("left_id", "right_id", "score", "review_reason", "evidence.domains_conflict", "evidence.phone_absent")
 
 
+@query(
+    """
+    WITH r AS (SELECT c_custkey AS k, c_custkey // 5 AS g, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN (1 + c_custkey // 5 % 3)::VARCHAR WHEN 2 THEN '2' WHEN 3 THEN (1 + c_nationkey % 2)::VARCHAR ELSE '' END AS u FROM customer),
+    j AS (SELECT g, k, CASE WHEN u = '' THEN coalesce(min(nullif(u, '')) OVER (PARTITION BY g), '') ELSE u END AS unit FROM r)
+    SELECT string_agg(k::VARCHAR, ',' ORDER BY k::VARCHAR) AS ids, count(*) AS n_rows, CASE WHEN unit = '' THEN '' ELSE 'suite ' || unit END AS unit FROM j GROUP BY g, unit"""
+)
+def unit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one building and phone whose units part them (F7, M3): rows without a unit go to the unit that comes first."""
+    c = F.col
+    k = c("c_custkey")
+    g, at = F.floor(k / 5), k % 5
+    unit = F.when(at == 1, 1 + g % 3).when(at == 2, 2).when(at == 3, 1 + c("c_nationkey") % 2).cast("string")
+    rows = table(spark, sf_dir, "customer").select(
+        k.cast("string").alias("id"), F.concat(F.lit("Clinic "), k.cast("string")).alias("practice_name"), F.concat(g.cast("string"), F.lit(" Oak St")).alias("address_street"), F.coalesce(F.concat(F.lit("Ste "), unit), F.lit("")).alias("address_unit"),
+        F.lpad((10000 + g % 80000).cast("string"), 5, "0").alias("address_zip"), F.concat(F.lit("415555"), F.lpad((g % 10000).cast("string"), 4, "0")).alias("phone"), F.concat(F.lit("https://u"), g.cast("string"), F.lit(".com")).alias("website_url"),
+    )
+    locations, _, _ = resolve.consolidate(rows)
+    return locations.select(F.array_join("source_row_ids", ",").alias("ids"), F.size("source_row_ids").cast("long").alias("n_rows"), c("address_unit_normalized").alias("unit"))
+
+
 @query(
     """
     WITH n AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS c FROM orders GROUP BY 1, 2)
