@@ -1,4 +1,8 @@
-"""Connected components without a driver-side graph: one task where edges are few, alternating star contractions beyond."""
+"""Graphs without a driver-side graph: connected components, and decisions that depend on earlier ones.
+
+Components are joined in one task where edges are few, by alternating star contractions beyond. Rows that take keys in order
+(``first_come``) are settled in rounds: whoever is first for all of its keys takes them, whoever wants a taken key is out.
+"""
 
 from __future__ import annotations
 
@@ -92,3 +96,53 @@ def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) ->
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+#: Rounds after which rows that still wait for one another go through one task, if they are few.
+MOST_ROUNDS = 16
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The loop itself, over rows sorted by (row, key)."""
+    owner: dict[str, int] = {}
+    now, own = None, []
+
+    def settle() -> None:
+        if own and not any(k in owner for k in own):
+            owner.update((k, now) for k in own)
+
+    for batch in batches:
+        for row, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if row != now:
+                settle()
+                now, own = row, []
+            own.append(key)
+    settle()
+    yield pa.RecordBatch.from_arrays([pa.array(owner.keys(), pa.string()), pa.array(owner.values(), pa.int64())], names=["key", "owner"])
+
+
+def first_come(keys: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """``key, owner``: the row that takes a key, where rows in order take all of their keys if none of them is taken yet.
+
+    ``keys`` has ``row long, key string``. The loop's result comes from rounds: a row that is first for each of its keys among
+    those that wait takes them, and all others that want one of these are out. A key that very many rows want is summed to its
+    first row before it is dealt, and settled with it. Rows wait in line only along chains of different keys, so rounds are few;
+    up to ``one_task`` keys of rows that share any, or that still wait after ``MOST_ROUNDS`` rounds, go through one task.
+    """
+    waiting = written(keys.where("key is not null").select(F.col("row").cast("long").alias("row"), F.col("key").cast("string").alias("key")).distinct(), "keys")
+    shared = waiting.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("owner"))
+    linked = waiting.join(shared.where("n > 1").select("key"), "key", "left_semi").select("row").distinct()
+    taken = waiting.join(linked, "row", "left_anti").select("key", F.col("row").alias("owner"))
+    waiting = written(waiting.join(linked, "row", "left_semi"), "waiting")
+    for n in range(1 << 16):
+        left = waiting.count()
+        if not left:
+            return taken
+        if left <= one_task and n in (0, MOST_ROUNDS):
+            return taken.unionByName(waiting.select("row", "key").coalesce(1).sortWithinPartitions("row").mapInArrow(_taken, "key string, owner long"))
+        first = waiting.join(waiting.groupBy("key").agg(F.min("row").alias("m")), "key").groupBy("row").agg(F.min(F.col("m") == F.col("row")).alias("all")).where("all").select("row")
+        new = written(waiting.join(first, "row").select("key", F.col("row").alias("owner")), "taken")
+        taken = taken.unionByName(new)
+        out = waiting.join(new.select("key"), "key", "left_semi").select("row").distinct()
+        waiting = written(waiting.join(out, "row", "left_anti"), "waiting")
+    raise RuntimeError("rows did not settle")

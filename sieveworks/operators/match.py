@@ -9,7 +9,7 @@ from sieveworks import constants as K
 from sieveworks.functions import addresses, names, phones, urls
 from sieveworks.functions.text import blank, first_filled, strip
 from sieveworks.operators import overlap
-from sieveworks.operators.graph import written
+from sieveworks.operators.graph import ONE_TASK, first_come, written
 from sieveworks.operators.rules import taxonomy_rules
 
 KEYS = ("google_place_id", "website_domain", "phone", "name_address")
@@ -234,39 +234,18 @@ def npi_lookup(records: DataFrame, snapshot: DataFrame, rules: dict[str, str] |
 # --- duplicates in an upload -----------------------------------------------------------------------------------------
 
 
-def upload_duplicates(rows: DataFrame) -> DataFrame:
+def upload_duplicates(rows: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """``row_idx, first_row, basis`` for rows whose url, or else name and state, an earlier kept row has.
 
-    A row is judged by kept rows only, which chains a decision to earlier ones. Url and name keys link rows; within what they
-    link, one grouped step goes through the rows in order.
+    A row is judged by kept rows only, which chains a decision to earlier ones: rows take their keys in order, all or none.
     """
-    import pandas as pd
-
-    from sieveworks.operators.graph import components
-
     c = F.col
     tidy = rows.select("row_idx", urls.canonical(c("website_url")).alias("url"), F.lower(strip(c("practice_name"))).alias("name"), F.upper(strip(c("address_state"))).alias("state"))
-    keys = tidy.select("row_idx", F.explode(F.array(F.when(c("url") != "", F.concat(F.lit("u:"), "url")), F.when((c("name") != "") & (c("state") != ""), F.concat_ws("|", F.lit("n"), "name", "state")))).alias("key")).where("key is not null")
-    least = keys.groupBy("key").agg(F.min("row_idx").alias("a"))
-    roots = components(keys.join(least, "key").select(c("row_idx").alias("b"), "a"))
-    linked = tidy.join(roots.select(c("node").alias("row_idx"), "root"), "row_idx", "left").withColumn("root", F.coalesce("root", "row_idx"))
-
-    def go(group: pd.DataFrame) -> pd.DataFrame:
-        urls_, names_, out = {}, {}, []
-        for r in group.sort_values("row_idx").itertuples():
-            key = (r.name_, r.state)
-            if r.url and r.url in urls_:
-                out.append((r.row_idx, urls_[r.url], "url"))
-            elif all(key) and key in names_:
-                out.append((r.row_idx, names_[key], "name_state"))
-            else:
-                if r.url:
-                    urls_[r.url] = r.row_idx
-                if all(key):
-                    names_[key] = r.row_idx
-        return pd.DataFrame(out, columns=["row_idx", "first_row", "basis"])
-
-    return linked.withColumnRenamed("name", "name_").groupBy("root").applyInPandas(lambda g: go(g), "row_idx long, first_row long, basis string")
+    listed = F.array(F.when(c("url") != "", F.concat(F.lit("u:"), "url")), F.when((c("name") != "") & (c("state") != ""), F.concat_ws("|", F.lit("n"), "name", "state")))
+    keys = written(tidy.select(c("row_idx").cast("long").alias("row"), F.posexplode(listed).alias("at", "key")).where("key is not null"), "keys")
+    hit = keys.join(first_come(keys, one_task), "key").where("owner < row")
+    found = hit.groupBy("row").agg(F.min(F.struct("at", "owner")).alias("x"))
+    return found.select(c("row").alias("row_idx"), c("x.owner").alias("first_row"), F.when(c("x.at") == 0, "url").otherwise("name_state").alias("basis"))
 
 
 def fuzzy_names(rows: DataFrame, least: float = 0.82, most_rows: int = 500) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks import constants as K
 from sieveworks.functions.text import blank, short_hash
 from sieveworks.operators import match
-from sieveworks.operators.graph import components, written
+from sieveworks.operators.graph import ONE_TASK, first_come, written
 
 HISTORY = "array<struct<field:string,old:string,new:string,changed_at:string,enrichment_run_id:string>>"
 KEYS = ("google_place_id", "website_domain", "phone_digits", "name_normalized", "address_normalized", "npi")
@@ -52,12 +51,11 @@ def chosen(records: DataFrame, ids: list[str] | None = None, mode: str | None =
     return found.withColumn("ordinal", F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("id")))
 
 
-def upsert(records: DataFrame, entries: DataFrame, run_id: str, now: str, discovery_run_id: str = "", include_needs_review: bool = False) -> tuple[DataFrame, DataFrame]:
+def upsert(records: DataFrame, entries: DataFrame, run_id: str, now: str, discovery_run_id: str = "", include_needs_review: bool = False, one_task: int = ONE_TASK) -> tuple[DataFrame, DataFrame]:
     """(entries after the run, one log row per record: ``record_id, outcome, reason, entry_id``).
 
     Records come in order of ``ordinal``. Each meets the entries as they were and those that earlier records of the run made;
-    records that share keys form components, and only inside one does the order matter. Records whose keys lead to several
-    entries change nothing.
+    who makes an entry takes its keys, in order (``first_come``). Records whose keys lead to several entries change nothing.
     """
     c = F.col
     rows = records.withColumns(match.fields_from_record()).withColumn("row_idx", c("ordinal").cast("long"))
@@ -66,27 +64,17 @@ def upsert(records: DataFrame, entries: DataFrame, run_id: str, now: str, discov
     keys = match.exploded_keys(fit, "row_idx")
     index = match.registry_index(entries)
     hits = written(keys.join(index, ["basis", "value"], "left").select("row_idx", "priority", "basis", "value", "entry_id"), "hits")
-    groups = hits.groupBy("basis", "value").agg(F.min("row_idx").alias("a"))
-    roots = components(hits.join(groups, ["basis", "value"]).select(c("row_idx").alias("b"), "a"))
-    linked = hits.join(roots.select(c("node").alias("row_idx"), "root"), "row_idx", "left").withColumn("root", F.coalesce("root", "row_idx"))
-
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        made: dict[tuple[str, str], str] = {}
-        out = []
-        for row, keys_ in group.sort_values(["row_idx", "priority"]).groupby("row_idx", sort=True):
-            own = list(zip(keys_["basis"], keys_["value"], keys_["entry_id"], strict=True))
-            found = {made.get((b, v)) or e for b, v, e in own} - {None}
-            if len(found) > 1:
-                out.append((row, None, "ambiguous"))
-            elif found:
-                out.append((row, found.pop(), "updated"))
-            else:
-                new = f"new-{row}"
-                made |= {(b, v): new for b, v, _ in own}
-                out.append((row, new, "inserted"))
-        return pd.DataFrame(out, columns=["row_idx", "entry_id", "outcome"])
-
-    ruled = written(linked.groupBy("root").applyInPandas(lambda g: resolve(g), "row_idx long, entry_id string, outcome string"), "ruled")
+    # A row that meets no entry makes one and takes its keys, unless an earlier row of the run took one of them.
+    key = F.concat_ws("|", "basis", "value")
+    new = hits.groupBy("row_idx").agg(F.max(c("entry_id").isNotNull()).alias("known")).where("not known").select("row_idx")
+    owners = first_come(hits.join(new, "row_idx", "left_semi").select(c("row_idx").alias("row"), key.alias("key")), one_task)
+    met = hits.select("row_idx", "entry_id", key.alias("key")).join(owners, "key", "left")
+    made = F.when(c("owner") < c("row_idx"), F.concat(F.lit("new-"), c("owner").cast("string")))
+    found = met.groupBy("row_idx").agg(F.collect_set(F.coalesce(made, "entry_id")).alias("found"))  # a row has four keys at most
+    size = F.size("found")
+    outcome = F.when(size > 1, "ambiguous").when(size == 1, "updated").otherwise("inserted")
+    entry = F.when(size == 1, F.try_element_at("found", F.lit(1))).when(size == 0, F.concat(F.lit("new-"), c("row_idx").cast("string")))
+    ruled = written(found.select("row_idx", entry.alias("entry_id"), outcome.alias("outcome")), "ruled")
     new_id = lambda x: F.when(x.startswith("new-"), F.concat(F.lit("R-"), short_hash(F.lit(run_id), x))).otherwise(x)
     ruled = ruled.withColumn("entry_id", new_id(c("entry_id")))
     log = rows.select("row_idx", c("id").alias("record_id"), "reason").join(ruled, "row_idx", "left")
