@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,32 +14,73 @@ from sieveworks.constants import CHALLENGES, PAGE_CHARS, SKIPPED_TAGS
 from sieveworks.functions.text import blank, contains_any
 
 _VOID = {"meta", "img", "link", "input", "br", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
+#: Elements that start tags of others end: list items, table cells and rows, options, terms, paragraphs, the head.
+_ROWS, _CELLS = {"tr", "tbody", "thead", "tfoot"}, {"td", "th"}
+_BLOCKS = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "header", "footer", "nav", "form", "h1", "h2", "h3", "h4", "h5", "h6", "main", "aside", "pre", "blockquote"}
+_IN_HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template", "head"}
+_ENDED = {"li": {"li"}, "option": {"option", "optgroup"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": _ROWS - {"thead", "tbody", "tfoot"} | _CELLS, "td": _CELLS, "th": _CELLS}
+#: An end tag does not reach over an element that outranks it.
+_RANK = {"div": 1, "td": 2, "th": 2, "tr": 3, "thead": 4, "tbody": 4, "tfoot": 4, "table": 5, "head": 6, "body": 6, "html": 7}
 
 
 class _Visible(HTMLParser):
+    """A stack of open elements; text counts while none of them is skipped."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines, self.images, self.depth = [], [], 0
+        self.lines, self.images = [], []
+        self.open: list[str] = []
+        self.count: Counter[str] = Counter()
+        self.skipped = 0
+
+    def _pop(self) -> str:
+        tag = self.open.pop()
+        self.count[tag] -= 1
+        self.skipped -= tag in SKIPPED_TAGS
+        return tag
 
     def handle_starttag(self, tag, attrs):
         if tag == "img":
-            have = dict(attrs)
-            name = (have.get("src") or "").split("?")[0].rsplit("/", 1)[-1]
-            said = " | ".join(x for x in ((have.get("alt") or "").strip(), (have.get("title") or "").strip(), name) if x)
-            if said:
-                self.images.append(f"[image: {said}]")
-        if tag in SKIPPED_TAGS and tag not in _VOID:
-            self.depth += 1
+            self.images += image_line(dict(attrs))
+        if self.count["head"] and tag not in _IN_HEAD:
+            while self._pop() != "head":
+                pass
+        if self.open and (self.open[-1] in _ENDED.get(tag, ()) or (self.open[-1] == "p" and tag in _BLOCKS)):
+            self._pop()
+            if tag == "tr" and self.open and self.open[-1] == "tr":  # a row that ends its cell ends itself, too
+                self._pop()
+        if tag not in _VOID:
+            self.open.append(tag)
+            self.count[tag] += 1
+            self.skipped += tag in SKIPPED_TAGS
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED_TAGS and tag not in _VOID and self.depth:
-            self.depth -= 1
+        if tag in _VOID or not self.count[tag]:
+            return
+        rank = _RANK.get(tag, 0)
+        for held in reversed(self.open):
+            if held == tag:
+                break
+            if _RANK.get(held, 0) > rank:
+                return
+        while self._pop() != tag:
+            pass
 
     def handle_data(self, data):
-        if not self.depth:
+        if not self.skipped:
             self.lines += [line.strip() for line in data.splitlines() if line.strip()]
 
 
+def image_line(have: dict) -> list[str]:
+    """What an image tells: its alt, its title and its file's name, each once."""
+    alt, title, src = ((have.get(k) or "").strip() for k in ("alt", "title", "src"))
+    said = list(dict.fromkeys(x for x in (alt, title, src.rsplit("/", 1)[-1].rsplit("?", 1)[0]) if x))
+    return [f"[image: {' | '.join(said)}]"] if said else []
+
+
 def visible(html: str | None, size: int = PAGE_CHARS) -> str:
     """The text that a page shows, a line for each piece, then its images; at most ``size`` characters."""
     page = _Visible()

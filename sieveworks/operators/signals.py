@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sieveworks import constants as K
 from sieveworks.functions import names
+from sieveworks.functions.mending import mended_json
 from sieveworks.functions.text import WHITE, any_of, blank, strip
 
 SIGNAL = (
@@ -210,22 +211,13 @@ def parsed_response(raw: Column) -> Column:
     """A model's JSON, fences taken off, repaired where it does not parse; null unless it is an object with ``signals`` and ``sales_angle``."""
     body = F.regexp_replace(F.regexp_replace(strip(raw), r"(?s)^```[^\n]*\n", ""), r"(?s)\n?```\s*$", "")
     shape = f"struct<signals:{RESPONSE},sales_angle:array<string>,exclusion_triggers:array<string>,exclusion_rationale:string,providers:array<struct<name:string,title:string>>>"
-    parsed, mended = F.from_json(body, shape, {"mode": "PERMISSIVE"}), F.from_json(repaired(body), shape, {"mode": "PERMISSIVE"})
+    parsed = F.from_json(body, shape, {"mode": "PERMISSIVE"})
     whole = lambda p: p.signals.isNotNull() & p.sales_angle.isNotNull()
+    # Only what does not parse goes to the tolerant reader.
+    mended = F.from_json(mended_json(F.when(~F.coalesce(whole(parsed), F.lit(False)), body), "signals", "sales_angle"), shape, {"mode": "PERMISSIVE"})
     return F.when(whole(parsed), parsed).when(whole(mended), mended)
 
 
-#: A quote inside a text: neither opens nor closes it by what stands beside it.
-_INNER = r'(?<![\[{,:]\s{0,20})(?<!\\)"(?!\s*[,:}\]])'
-
-
-def repaired(raw: Column) -> Column:
-    """A model's JSON with the commonest faults mended: raw line ends and tabs in texts, quotes in texts, commas before a closing mark."""
-    one_line = F.translate(F.regexp_replace(blank(raw), "[\r\n\t]", " "), "\u201c\u201d", '""')
-    quoted = F.regexp_replace(one_line, _INNER, F.lit(r'\\"'))
-    return F.regexp_replace(quoted, r",\s*([}\]])", "$1")
-
-
 def column_state(signals: Column, ids: Sequence[str]) -> Column:
     """The strongest of yes, inferred, no and not_found among some signals; empty if the record has none of them."""
     ranks = F.transform(F.filter(signals, lambda s: any_of(s.signal_id, ids)), lambda s: F.when(s.signal_state == "yes", 3).when(s.state_inferred, 2).when(s.signal_state == "no", 1).otherwise(0))

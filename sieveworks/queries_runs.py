@@ -890,6 +890,35 @@ def response_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", said.isNotNull().alias("parsed"), F.try_element_at(said.signals, F.lit(1)).evidence_text.alias("quote"))
 
 
+_QUOTE = "substr(translate(coalesce(text, ''), '\"\\' || chr(10) || chr(13) || chr(9), '     '), 1, 120)"
+
+
+@query(
+    f"""
+    WITH q AS (SELECT doc_id, {_QUOTE} AS q FROM documents)
+    SELECT doc_id, 2 AS n, CASE doc_id % 8 WHEN 1 THEN substr(q, 1, 40) || '"' || substr(q, 41, 20) || '" ' || substr(q, 61) || '.' WHEN 2 THEN q || ' and on' ELSE q END AS first, CASE doc_id % 8 WHEN 5 THEN NULL ELSE doc_id::VARCHAR END AS second FROM q"""
+)
+def response_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models' answers over all documents, each with one of the usual faults, read by the tolerant reader.
+
+    Inner quotes, raw line ends, a missing comma, prose before the object, a text that the end cuts off, a trailing comma behind
+    typographic quotes, an object left open; and none.
+    """
+    c = F.col
+    q = F.substring(F.translate(F.coalesce("text", F.lit("")), '"\\\n\r\t', "     "), 1, 120)
+    kind = c("doc_id") % 8
+    inner = F.concat(F.substring("q", 1, 40), F.lit('"'), F.substring("q", 41, 20), F.lit('" '), F.expr("substring(q, 61)"), F.lit("."))
+    said = F.when(kind == 1, inner).when(kind == 2, F.concat("q", F.lit("\nand on"))).otherwise(c("q"))
+    one = lambda name, text, more="": F.concat(F.lit('{"signal_id": "%s", "evidence_text": "' % name), text, F.lit('"' + more))
+    comma = F.when(kind == 3, F.lit("} ")).otherwise(F.lit("}, "))
+    angle = F.when(kind == 6, F.lit('"sales_angle": [“x”,], ')).otherwise(F.lit('"sales_angle": ["x"], '))
+    end = F.when(kind == 5, F.lit("")).when(kind == 7, F.lit('"}')).otherwise(F.lit('"}]}'))
+    begin = F.when(kind == 4, F.lit("Here is {the} JSON:\n{")).otherwise(F.lit("{"))
+    raw = F.concat(begin, angle, F.lit('"signals": ['), one("a", said), comma, F.lit('{"signal_id": "b", "evidence_text": "'), c("doc_id").cast("string"), end)
+    got = table(spark, sf_dir, "documents").select("doc_id", q.alias("q")).select("doc_id", S.parsed_response(raw).signals.alias("s"))
+    return got.select("doc_id", F.size("s").alias("n"), c("s")[0].evidence_text.alias("first"), c("s")[1].evidence_text.alias("second"))
+
+
 @query(
     """
     SELECT s_suppkey, 'Ann Lee, MD, PHD | Bo' AS cell, CASE WHEN s_suppkey % 2 = 0 THEN 'Location 2 of 3' ELSE '' END AS label, '1 main street' AS street, 'suite 4' AS unit, '4155550001' AS phone, 'bay.com' AS domain, '94110|1 main street|suite 4|4155550001|bay.com|bay heart clinic|' || s_suppkey AS signature, s_suppkey % 2 = 0 AS conflict FROM supplier"""
