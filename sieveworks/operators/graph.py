@@ -55,6 +55,30 @@ def placed(df: DataFrame, order: list, name: str = "place", start: int = 1) -> D
     return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + start).select(*df.columns, name)
 
 
+#: Rows of a key that one task numbers.
+HOT = 1 << 18
+
+
+def numbered(df: DataFrame, key: str, order: list, name: str, hot: int = HOT) -> DataFrame:
+    """``df`` with ``name``: its rows' numbers from 1 in an order inside each value of ``key``, which is never null.
+
+    Keys of up to ``hot`` rows are numbered in their task. The rows of larger ones are sorted over ranges of (key, order); a row's
+    number is its place in its range's part of the key and the counts of that key in the ranges before, so no task sees a key whole.
+    """
+    large = written(df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(key), "hot")
+    inside = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    if large.isEmpty():
+        return df.withColumn(name, inside)
+    few = df.join(large, key, "left_anti").withColumn(name, inside)
+    ranged = df.join(large, key, "left_semi").orderBy(key, *order).withColumn("_at", F.monotonically_increasing_id())
+    sorted_ = written(ranged, "ranges").withColumn("_part", F.shiftright("_at", 33))
+    sizes = sorted_.groupBy(key, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each key and range
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(key, "_part", (before - F.col("_first") + 1).alias("_shift"))
+    many = sorted_.join(sizes, [key, "_part"]).withColumn(name, (F.col("_at") + F.col("_shift")).cast("int"))
+    return few.select(*df.columns, name).unionByName(many.select(*df.columns, name))
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Roots of all edges of one task."""
     root: dict[int, int] = {}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks import constants as K
 from sieveworks.functions.text import any_of
+from sieveworks.operators.graph import numbered
 
 
 def run_log(records: DataFrame, records_in: int) -> DataFrame:
@@ -125,9 +126,8 @@ def scaffold(records: DataFrame) -> DataFrame:
     """Unreviewed cases from records: a slug of the name, equal ones numbered from the second on."""
     from sieveworks.functions.text import slug
 
-    named = records.withColumn("_slug", slug(F.col("practice_name")))
-    n = F.row_number().over(Window.partitionBy("_slug").orderBy("id"))
-    return named.withColumn("_n", n).select("id", F.when(F.col("_n") == 1, F.col("_slug")).otherwise(F.concat_ws("_", "_slug", F.col("_n").cast("string"))).alias("case_id"), F.lit(False).alias("reviewed"))
+    named = numbered(records.select("id", slug(F.col("practice_name")).alias("_slug")), "_slug", ["id"], "_n")
+    return named.select("id", F.when(F.col("_n") == 1, F.col("_slug")).otherwise(F.concat_ws("_", "_slug", F.col("_n").cast("string"))).alias("case_id"), F.lit(False).alias("reviewed"))
 
 
 def transitions(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -11,14 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks import constants as K
 from sieveworks.functions import addresses, names, phones, urls
 from sieveworks.functions.text import any_of, blank, first_filled, short_hash, strip
 from sieveworks.operators import clusters
-from sieveworks.operators.graph import ONE_TASK, components, placed, written
+from sieveworks.operators.graph import ONE_TASK, components, numbered, placed, written
 
 FIELDS = (
     "id", "practice_name", "specialty", "npi_optional", "npi_number", "npi_entity_type", "npi_practice_name", "google_place_id",
@@ -310,16 +310,17 @@ def grouped(locations: DataFrame, shared: list[str], url: str = "website_url", d
     size = out.where("_own").groupBy("_domain").agg(F.count("*").alias("_n")).where("_n > 1")
     out = out.join(size, "_domain", "left").join(name, "_domain", "left")
     many = F.col("_n").isNotNull() & F.col("_own")
-    # Locations without a group are partitions of their own.
-    at = F.row_number().over(Window.partitionBy(F.when(many, F.col("_domain")), F.when(~many, F.col("practice_id"))).orderBy("address_zip", "address_street", "address_unit", "practice_id"))
+    # Locations without a group have keys of their own.
+    out = out.withColumn("_of", F.when(many, F.concat(F.lit("d:"), "_domain")).otherwise(F.concat(F.lit("p:"), F.coalesce("practice_id", F.lit("")))))
+    out = numbered(out, "_of", ["address_zip", "address_street", "address_unit", "practice_id"], "_index")
     return out.withColumns(
         {
             "group_id": F.when(many, F.concat(F.lit("G-"), short_hash(F.lit("domain"), F.col("_domain")))).otherwise(""),
             "group_name": F.when(many, F.coalesce(F.nullif("_name", F.lit("")), "_domain")).otherwise(""),
-            "location_index": F.when(many, at).otherwise(1),
+            "location_index": F.when(many, F.col("_index")).otherwise(1),
             "location_count": F.when(many, F.col("_n")).otherwise(1).cast("int"),
         }
-    ).drop("_domain", "_own", "_n", "_name")
+    ).drop("_domain", "_own", "_n", "_name", "_of", "_index")
 
 
 def consolidate(records: DataFrame, noise: list[str] | None = None, umbrella: list[str] | None = None, contact_blocking: bool = True, most_contacts: int = K.MOST_CONTACTS) -> tuple[DataFrame, DataFrame, DataFrame]:

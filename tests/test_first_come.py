@@ -91,3 +91,15 @@ def test_upsert_by_rounds(spark):
 def _entries(spark):
     names = ", ".join(f"{f} string" for f in dict.fromkeys(registry.ENTRY))
     return spark.createDataFrame([], f"{names}, change_history {registry.HISTORY}, ordinal long")
+
+
+@pytest.mark.parametrize("hot", [7, 10**6])
+def test_numbers_inside_keys(spark, hot):
+    rng = random.Random(hot)
+    rows = [(i, rng.choice(["one", "one", "one", "two", f"k{rng.randrange(40)}"]), rng.randrange(50)) for i in range(600)]
+    got = graph.numbered(spark.createDataFrame(rows, "id long, key string, v int").repartition(9), "key", ["v", F.desc("id")], "n", hot)
+    assert got.columns == ["id", "key", "v", "n"]
+    want, seen = {}, {}
+    for i, k, _ in sorted(rows, key=lambda r: (r[1], r[2], -r[0])):
+        want[i] = seen[k] = seen.get(k, 0) + 1
+    assert {r["id"]: r["n"] for r in got.collect()} == want
