@@ -65,10 +65,11 @@ def numbered(df: DataFrame, key: str, order: list, name: str, hot: int = HOT) ->
     Keys of up to ``hot`` rows are numbered in their task. The rows of larger ones are sorted over ranges of (key, order); a row's
     number is its place in its range's part of the key and the counts of that key in the ranges before, so no task sees a key whole.
     """
-    large = written(df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(key), "hot")
+    large = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(key)
     inside = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     if large.isEmpty():
         return df.withColumn(name, inside)
+    large = written(large, "hot")
     few = df.join(large, key, "left_anti").withColumn(name, inside)
     ranged = df.join(large, key, "left_semi").orderBy(key, *order).withColumn("_at", F.monotonically_increasing_id())
     sorted_ = written(ranged, "ranges").withColumn("_part", F.shiftright("_at", 33))

@@ -85,20 +85,87 @@ def pair_score(a: Column, b: Column, alike: Column, noise: list[str]) -> tuple[C
     return score, F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit, _ in terms]))
 
 
-def candidates(rows: DataFrame, shared: list[str], contact_blocking: bool = True, most_contacts: int = K.MOST_CONTACTS) -> DataFrame:
+#: Rows of an address from which on only pairs are made that something besides the address may join.
+LARGE_BLOCK = 256
+#: From this length on names meet by three characters in a row, below by two.
+LONG_NAME = 20
+
+
+def _grams(name: str, size: int) -> Column:
+    """A name's stretches of ``size`` characters, each with how often it occurred up to there; the name itself if it is shorter."""
+    every = f"transform(sequence(1, greatest(length({name}) - {size - 1}, 1)), i -> substring({name}, i, {size}))"
+    return F.expr(f"transform(array({every}), g -> transform(g, (x, i) -> concat(x, size(filter(slice(g, 1, i + 1), y -> y = x)))))[0]")
+
+
+def _alike(rows: DataFrame, least: float = K.NAME_LIKENESS) -> DataFrame:
+    """``a, b``: pairs of one address whose names may be alike.
+
+    Likeness is 2 M / (|a| + |b|) for M characters in matched stretches. What is not matched, at most (1 - least) (|a| + |b|)
+    characters, parts the stretches, so there are at most one more of them, and each loses ``size - 1`` of its pieces of ``size``
+    characters. As |b| is at least least / (2 - least) of |a|, this bounds from below the pieces that a name shares with any name
+    like it; two such names then share one among the first of each in any order, but for so many (a prefix filter).
+    """
+    part = 2 / (2 - least)
+    named = rows.where("ident.name <> ''").withColumns({"_l": F.length("ident.name"), "_c": _grams("ident.name", 1)})
+    side = F.struct("signature", "row", "ident")
+
+    def prefixes(size: int, frame: DataFrame) -> DataFrame:
+        shared = F.ceil(F.col("_l") * F.lit(part * (least / 2 - (size - 1) * (1 - least))) - (size - 1) - 1e-9)
+        pieces = F.array_sort(F.transform(_grams("ident.name", size), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+        first = F.slice(pieces, F.lit(1), (F.greatest(F.size(pieces), F.lit(1)) - F.greatest(shared, F.lit(1)) + 1).cast("int"))
+        return frame.select("k1", "k2", "_l", "_c", side.alias("x"), F.explode(first).alias("p")).select("k1", "k2", "_l", "_c", "x", F.col("p.g").alias("_key"))
+
+    short, reach = F.col("_l") < LONG_NAME, F.col("_l") <= LONG_NAME * (2 - least) / least + 1
+    pairs = [(prefixes(3, named.where(~short)), prefixes(3, named.where(~short))), (prefixes(2, named.where(short)), prefixes(2, named.where(reach)))]
+    found = None
+    for x, y in pairs:
+        met = x.select("k1", "k2", "_key", F.col("x").alias("m"), F.col("_c").alias("_m")).join(y.select("k1", "k2", "_key", F.col("x").alias("o"), F.col("_c").alias("_o")), ["k1", "k2", "_key"])
+        met = met.where((F.col("m.row") != F.col("o.row")) & names.may_be_alike(F.col("m.ident.name"), F.col("o.ident.name"), least))
+        met = met.where(2 * F.size(F.array_intersect("_m", "_o")) >= least * (F.size("_m") + F.size("_o")) - 1e-9)
+        turned = _before("o", "m")
+        met = met.select(F.when(turned, F.col("o")).otherwise(F.col("m")).alias("a"), F.when(turned, F.col("m")).otherwise(F.col("o")).alias("b"))
+        found = met if found is None else found.unionByName(met)
+    return found
+
+
+def _before(a: str, b: str) -> Column:
+    return (F.col(f"{a}.signature") < F.col(f"{b}.signature")) | ((F.col(f"{a}.signature") == F.col(f"{b}.signature")) & (F.col(f"{a}.row") < F.col(f"{b}.row")))
+
+
+def candidates(rows: DataFrame, shared: list[str], contact_blocking: bool = True, most_contacts: int = K.MOST_CONTACTS, noise: Iterable[str] = (), large: int = LARGE_BLOCK) -> DataFrame:
     """``a, b``: pairs of (row, ident, signature) that share a block, each once, in signature order, without unit conflicts.
 
-    ``rows`` has ``row`` (a unique number), ``ident`` and ``signature``.
+    ``rows`` has ``row`` (a unique number), ``ident`` and ``signature``. At an address of more than ``large`` rows, pairs that
+    agree on nothing but the address are left out, as they neither merge nor are shown to anybody: pairs are made by phone,
+    domain, unit, names that may be alike, and a missing phone (which an analyst should see). What is left is output: rows that
+    agree on one of these, or lack a phone, still pair with one another.
     """
     keyed = rows.select("row", "ident", "signature")
     side = F.struct("signature", "row", "ident")
 
-    def joined(frame: DataFrame, *key: str) -> DataFrame:
-        a, b = (frame.select(*key, side.alias(name)) for name in ("a", "b"))
-        return a.join(b, list(key)).where((F.col("a.signature") < F.col("b.signature")) | ((F.col("a.signature") == F.col("b.signature")) & (F.col("a.row") < F.col("b.row")))).select("a", "b")
+    def joined(frame: DataFrame, *key: str, other: DataFrame | None = None) -> DataFrame:
+        a, b = (f.select(*key, side.alias(name)) for name, f in (("a", frame), ("b", frame if other is None else other)))
+        both = a.join(b, list(key))
+        if other is None:
+            return both.where(_before("a", "b")).select("a", "b")
+        turned = ~_before("a", "b")
+        return both.where(F.col("a.row") != F.col("b.row")).select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
 
     at = keyed.select("*", F.col("ident.zip5").alias("k1"), F.col("ident.street").alias("k2")).where("k1 <> '' and k2 <> ''")
-    pairs = joined(at, "k1", "k2")
+    crowded = at.groupBy("k1", "k2").count().where(F.col("count") > large).select("k1", "k2")
+    if crowded.isEmpty():
+        pairs = joined(at, "k1", "k2")
+    else:
+        crowded = written(crowded, "crowded")
+        pairs = joined(at.join(crowded, ["k1", "k2"], "left_anti"), "k1", "k2")
+        big = at.join(crowded, ["k1", "k2"], "left_semi").withColumns({f: F.col(f"ident.{f}") for f in ("phone", "domain", "unit")})
+        big = written(big, "big")
+        own = (F.col("domain") != "") & ~any_of(F.col("domain"), noise)
+        for f, has in (("phone", F.col("phone") != ""), ("domain", own), ("unit", F.col("unit") != "")):
+            pairs = pairs.union(joined(big.where(has), "k1", "k2", f))
+        x, y = F.col("a.ident.domain"), F.col("b.ident.domain")
+        parted = (x != "") & (y != "") & (x != y) & ~any_of(x, noise) & ~any_of(y, noise)
+        pairs = pairs.union(joined(big.where("phone = ''"), "k1", "k2", other=big).where(~parted)).union(_alike(big))
     if contact_blocking:
         by = keyed.select("*", F.col("ident.phone").alias("k1"), F.col("ident.domain").alias("k2")).where((F.col("k1") != "") & (F.col("k2") != "") & ~any_of(F.col("k2"), shared))
         small = by.groupBy("k1", "k2").count().where(F.col("count").between(2, most_contacts)).select("k1", "k2")
@@ -305,14 +372,14 @@ def grouped(locations: DataFrame, shared: list[str], url: str = "website_url", d
     The domain is the registrable one of ``url``, unless another is given.
     """
     out = locations.withColumn("_domain", urls.registrable(F.col(url)) if domain is None else domain).withColumn("_own", (F.col("_domain") != "") & ~any_of(F.col("_domain"), shared))
+    # Locations without a domain of their own have keys of their own.
+    out = out.withColumn("_of", F.when(F.col("_own"), F.concat(F.lit("d:"), "_domain")).otherwise(F.concat(F.lit("p:"), F.coalesce("practice_id", F.lit("")))))
+    out = numbered(out, "_of", ["address_zip", "address_street", "address_unit", "practice_id"], "_index")
     named = out.where("_own and trim(practice_name) <> ''").groupBy("_domain", F.trim("practice_name").alias("nm")).count()
     name = named.groupBy("_domain").agg(F.min_by("nm", F.struct(-F.col("count"), "nm")).alias("_name"))
     size = out.where("_own").groupBy("_domain").agg(F.count("*").alias("_n")).where("_n > 1")
     out = out.join(size, "_domain", "left").join(name, "_domain", "left")
     many = F.col("_n").isNotNull() & F.col("_own")
-    # Locations without a group have keys of their own.
-    out = out.withColumn("_of", F.when(many, F.concat(F.lit("d:"), "_domain")).otherwise(F.concat(F.lit("p:"), F.coalesce("practice_id", F.lit("")))))
-    out = numbered(out, "_of", ["address_zip", "address_street", "address_unit", "practice_id"], "_index")
     return out.withColumns(
         {
             "group_id": F.when(many, F.concat(F.lit("G-"), short_hash(F.lit("domain"), F.col("_domain")))).otherwise(""),
@@ -323,12 +390,12 @@ def grouped(locations: DataFrame, shared: list[str], url: str = "website_url", d
     ).drop("_domain", "_own", "_n", "_name", "_of", "_index")
 
 
-def consolidate(records: DataFrame, noise: list[str] | None = None, umbrella: list[str] | None = None, contact_blocking: bool = True, most_contacts: int = K.MOST_CONTACTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def consolidate(records: DataFrame, noise: list[str] | None = None, umbrella: list[str] | None = None, contact_blocking: bool = True, most_contacts: int = K.MOST_CONTACTS, large: int = LARGE_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(locations, review pairs, one summary row) of canonical records."""
     noise, umbrella = domain_policy(noise, (), umbrella)
     shared = sorted({*noise, *umbrella})
     rows = written(identified(conformed(records)).withColumn("row", F.monotonically_increasing_id()), "identified")
-    pairs = written(scored(candidates(rows, shared, contact_blocking, most_contacts), noise), "pairs")
+    pairs = written(scored(candidates(rows, shared, contact_blocking, most_contacts, noise, large), noise), "pairs")
     members, marked = clustered(rows, pairs)
     members = written(members, "members")
     locations = written(with_ids(merged(members, marked), shared), "locations")
