@@ -286,12 +286,3 @@ def client_reason(x: Column) -> Column:
 def first_person(x: Column) -> Column:
     """Whether a sales angle speaks as the seller."""
     return x.rlike(r"(?i)\b(we|our|us|i|my|i'm|we're|we'd|i'd)\b")
-
-
-def label_columns(records: DataFrame, labels: list[str]) -> DataFrame:
-    """Per record and label the strongest state among its signals, a column each."""
-    rank = F.when(F.col("s.signal_state") == "yes", 3).when(F.col("s.state_inferred"), 2).when(F.col("s.signal_state") == "no", 1).otherwise(0)
-    long = records.select("id", F.explode("signals").alias("s")).select("id", F.col("s.signal_label").alias("label"), rank.alias("r"))
-    wide = long.groupBy("id").pivot("label", labels).agg(F.max("r"))
-    name = lambda x: F.coalesce(lookup(F.col(f"`{x}`").cast("string"), {"3": "yes", "2": "inferred", "1": "no", "0": "not_found"}), F.lit(""))
-    return wide.select("id", *[name(x).alias(x) for x in labels])

@@ -299,7 +299,7 @@ def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.tier AS old_tier, b.tier AS new_tier, a.fit <> b.fit AS score_changed, count(*) AS n FROM a JOIN b USING (o_orderkey) GROUP BY 1, 2, 3"""
 )
 def rescore_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rescore under the same weights: preview equals pass, nothing moves."""
+    """What a rescore does to tiers, under the same weights: nothing moves."""
     rows = _tiered(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.col("t.tier").alias("target_tier"), "bullseye_score", "signals", "enrichment_status", "source_confidence")
     again = enrichment.scored(rows.select("id", "signals", "enrichment_status", "source_confidence"), DEFS)
     again = again.withColumn("target_tier", rules.tier(F.col("signals"), F.col("bullseye_score"), F.col("enrichment_status"), F.col("source_confidence")).tier)

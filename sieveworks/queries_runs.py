@@ -802,11 +802,22 @@ def doubtful_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.review_pairs(asked, ruled).groupBy("review_reason", "score", "mechanical", "decision").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT (SELECT count(*) FROM customer) AS input_count, count(*) + 0 AS output_count_on, (SELECT count(DISTINCT floor(c_custkey / 3)) FROM customer) AS output_count_off, 0 AS additional_collapse, 0.0::DOUBLE AS collapse_percent FROM ({_LOCATIONS})")
+@query(
+    """
+    WITH g AS (SELECT c_custkey // 4 AS g, count(*) AS n FROM customer GROUP BY 1), f AS (SELECT sum(n)::BIGINT AS off, sum(CASE WHEN g % 3 < 2 THEN 1 ELSE n END)::BIGINT AS on_, sum(CASE WHEN g % 3 < 2 THEN n * (n - 1) // 2 ELSE 0 END)::BIGINT AS crossed FROM g)
+    SELECT off AS input_count, on_ AS output_count_on, off AS output_count_off, (off - on_)::INT AS additional_collapse, round((off - on_) * 100 / off, 1) AS collapse_percent, crossed AS cross_address_merges_on, 0::BIGINT AS cross_address_merges_off
+    FROM f"""
+)
 def contact_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows without and with contact blocks."""
-    out = resolve.contact_comparison(_plain_practices(spark, sf_dir))
-    return out.select("input_count", "output_count_on", "output_count_off", F.col("additional_collapse").cast("int").alias("additional_collapse"), "collapse_percent")
+    """Offices of one practice at different addresses without and with contact blocks (F22): of every three groups of four, two share a phone and a domain."""
+    c = F.col
+    k, g = c("c_custkey"), F.floor(c("c_custkey") / 4)
+    rows = table(spark, sf_dir, "customer").select(
+        k.cast("string").alias("id"), F.concat(F.lit("Office "), F.sha2(k.cast("string"), 256)).alias("practice_name"), F.concat(k.cast("string"), F.lit(" Oak St")).alias("address_street"), F.lpad((10000 + k % 80000).cast("string"), 5, "0").alias("address_zip"),
+        F.when(g % 3 < 2, F.concat(F.lit("415555"), F.lpad((g % 10000).cast("string"), 4, "0"))).otherwise("").alias("phone"), F.concat(F.lit("https://o"), g.cast("string"), F.lit(".com")).alias("website_url"),
+    )
+    out = resolve.contact_comparison(rows)
+    return out.select("input_count", "output_count_on", "output_count_off", c("additional_collapse").cast("int").alias("additional_collapse"), "collapse_percent", "cross_address_merges_on", "cross_address_merges_off")
 
 
 @query("SELECT a.n_nationkey::BIGINT AS left_row, b.n_nationkey::BIGINT AS right_row, CASE WHEN a.n_nationkey // 2 = b.n_nationkey // 2 THEN 'merge' ELSE 'no_shared_block' END AS verdict, CASE WHEN a.n_nationkey // 2 = b.n_nationkey // 2 THEN 'address' ELSE 'none' END AS path FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
@@ -919,6 +930,36 @@ def response_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("s").alias("n"), c("s")[0].evidence_text.alias("first"), c("s")[1].evidence_text.alias("second"))
 
 
+@query(
+    """
+    WITH l AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS r, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT o_orderkey, (100 * count_yes // n)::INT AS signal_coverage, CASE WHEN risks = 0 THEN 'Low' WHEN risks = 1 THEN 'Moderate' ELSE 'Elevated' END AS risk,
+      CASE o_orderstatus WHEN 'F' THEN 'Call now' WHEN 'O' THEN 'Qualify' WHEN 'P' THEN 'Verify first' ELSE 'Hold' END AS motion, o_orderstatus = 'F' AND o_totalprice > 100000 AS ready
+    FROM (SELECT *, r AS count_yes, least(r, 2) AS risks FROM orders JOIN l ON l_orderkey = o_orderkey)"""
+)
+def account_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of signals, risk, motion and readiness of every account (F24): lines are signals, returned ones are confirmed and risky."""
+    c = F.col
+    state = F.when(c("l_returnflag") == "R", "yes").otherwise("no")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(state.alias("signal_state"))).alias("signals"))
+    rows = table(spark, sf_dir, "orders").join(lines, c("o_orderkey") == c("l_orderkey"))
+    risks = F.transform(F.slice(F.filter("signals", lambda s: s.signal_state == "yes"), 1, 2), lambda s: F.lit("Returned"))
+    rows = rows.select(
+        "o_orderkey", "signals", F.when(c("o_orderstatus") == "F", K.BULLSEYE).when(c("o_orderstatus") == "O", K.CONTENDER).when(c("o_orderstatus") == "P", K.VERIFY).otherwise(K.MANUAL).alias("displayed_tier"),
+        F.struct(risks.alias("disqualifier_risk"), F.lit("").alias("likely_objection")).alias("call_brief"), F.struct(F.when(c("o_totalprice") > 100000, "approved").otherwise("pending").alias("qc_status")).alias("review"),
+        *[F.lit("").alias(f) for f in ("address_street", "address_city", "address_state", "address_zip", "website_url")],
+    )
+    cells = views.account("2026-01-02")
+    return rows.select("o_orderkey", *[cells[f].alias(f) for f in ("signal_coverage", "risk", "motion", "ready")])
+
+
+@query()
+def upload_likenesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names alike in one state among all suppliers (E23); by its rule an upload of more than 500 rows is not compared."""
+    state = F.concat(F.lit("S"), (F.col("s_nationkey") % 5).cast("string"))
+    return match.fuzzy_names(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_idx"), F.col("s_name").alias("practice_name"), state.alias("address_state")))
+
+
 @query(
     """
     SELECT s_suppkey, 'Ann Lee, MD, PHD | Bo' AS cell, CASE WHEN s_suppkey % 2 = 0 THEN 'Location 2 of 3' ELSE '' END AS label, '1 main street' AS street, 'suite 4' AS unit, '4155550001' AS phone, 'bay.com' AS domain, '94110|1 main street|suite 4|4155550001|bay.com|bay heart clinic|' || s_suppkey AS signature, s_suppkey % 2 = 0 AS conflict FROM supplier"""
