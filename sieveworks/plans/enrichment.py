@@ -103,6 +103,18 @@ def simulated(spark: SparkSession, defs: Sequence[S.SignalDef], config: rules.Ru
     return rules.decided(scored(made, defs), config).select("states", "bullseye_score", "fit_signal_score", "confidence_score", "exclusion_status", "target_tier", "tier_cap_reason")
 
 
+def what_ifs(records: DataFrame, defs: Sequence[S.SignalDef], states: Sequence[str] = K.STATES) -> DataFrame:
+    """Records with every single change of a signal: ``changed_signal, changed_state``, and the scores that would follow.
+
+    A record comes once for each signal and state, its own states included; inferred states are worked out anew.
+    """
+    each = F.array(*[F.struct(F.lit(d.signal_id).alias("id"), F.lit(x).alias("state")) for d in defs for x in states])
+    rows = records.withColumn("_c", F.explode(each))
+    put = F.transform("signals", lambda s: s.withField("signal_state", F.when(s.signal_id == F.col("_c.id"), F.col("_c.state")).otherwise(s.signal_state)).withField("state_inferred", F.lit(False)).withField("inferred_from", F.lit("")))
+    rows = rows.withColumns({"signals": put, "changed_signal": F.col("_c.id"), "changed_state": F.col("_c.state")}).drop("_c")
+    return scored(rows, defs)
+
+
 def discovered(rows: DataFrame, entries: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classified rows with reasons, counts by class, the registry as it would be)."""
     from sieveworks.operators.registry import preview

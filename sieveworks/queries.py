@@ -306,6 +306,24 @@ def rescore_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.transitions(rows, again)
 
 
+@query(
+    f"""
+    WITH s AS (SELECT o_orderkey, k, CASE WHEN big THEN 'yes' WHEN small THEN 'no' ELSE 'not_found' END AS b, CASE WHEN ret THEN 'yes' ELSE 'no' END AS r, CASE WHEN disc THEN 'yes' ELSE 'not_found' END AS d, CASE WHEN bulk THEN 'yes' ELSE 'not_found' END AS u FROM ({_STATES})),
+    w AS (SELECT o_orderkey, k, id, st, CASE id WHEN 'big' THEN st ELSE b END AS b, CASE id WHEN 'returned' THEN st ELSE r END AS r, CASE id WHEN 'discount' THEN st ELSE d END AS d, CASE id WHEN 'bulk' THEN st ELSE u END AS u
+          FROM s, (VALUES ('big'), ('returned'), ('discount'), ('bulk')) x(id), (VALUES ('yes'), ('no'), ('not_found')) y(st)),
+    f AS (SELECT o_orderkey, id, st, greatest(0, least(100, round_even((((CASE b WHEN 'yes' THEN 40.0::DOUBLE * k WHEN 'no' THEN -5.0 ELSE 0.0 END + CASE r WHEN 'yes' THEN -20.0::DOUBLE * k ELSE 0.0 END) + CASE d WHEN 'yes' THEN 25.0::DOUBLE * k WHEN 'no' THEN 0.0 ELSE -5.0 END)
+          + CASE WHEN u = 'yes' THEN 35.0::DOUBLE * k WHEN u = 'not_found' AND d = 'yes' THEN 35.0::DOUBLE * 0.6 ELSE 0.0 END) / 100.0::DOUBLE * 100, 0)))::INT AS score FROM w)
+    SELECT o_orderkey, id AS changed_signal, st AS changed_state, score, score - o.fit AS lift FROM f JOIN (SELECT o_orderkey, fit FROM ({_SCORES})) o USING (o_orderkey) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, id, st) = 1"""
+)
+def best_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The simulator over all orders (I15): of all single changes of a signal the one that lifts the score most."""
+    rows = _orders(spark, sf_dir).select("o_orderkey", "signals")
+    own = enrichment.scored(rows, DEFS).select("o_orderkey", F.col("fit_signal_score").alias("own"))
+    order = F.struct((-F.col("fit_signal_score")).alias("s"), F.col("changed_signal").alias("id"), F.col("changed_state").alias("st"))
+    best = enrichment.what_ifs(rows, DEFS).groupBy("o_orderkey").agg(F.min(order).alias("b"))
+    return best.join(own, "o_orderkey").select("o_orderkey", F.col("b.id").alias("changed_signal"), F.col("b.st").alias("changed_state"), (-F.col("b.s")).alias("score"), (-F.col("b.s") - F.col("own")).alias("lift"))
+
+
 @query(f"SELECT o_orderkey, CASE WHEN big THEN 'yes' WHEN small THEN 'no' ELSE 'not_found' END AS big, CASE WHEN bulk THEN 'yes' WHEN disc THEN 'inferred' ELSE 'not_found' END AS bulk FROM ({_STATES})")
 def signal_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest state of a column's signals."""
