@@ -16,8 +16,8 @@ from sieveworks.functions import names, phones, urls
 from sieveworks.functions.text import duration, progress
 from sieveworks.operators import evidence, match, metrics, overlay, passes, registry, resolve, rules, views
 from sieveworks.operators import signals as S
-from sieveworks.operators.graph import placed, shared_folder, written
-from sieveworks.plans import config, enrichment
+from sieveworks.operators.graph import numbered, placed, shared_folder, written
+from sieveworks.plans import config, config_tables, enrichment
 from sieveworks.queries import _BARE, _REVIEWED, _SCORES, _STATES, _TIER, DEFS, _doubtful, _orders, _reviewed
 from sieveworks.sources import readers, writers
 
@@ -960,6 +960,71 @@ def upload_likenesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.fuzzy_names(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_idx"), F.col("s_name").alias("practice_name"), state.alias("address_state")))
 
 
+_DRAFTS = """SELECT p_size AS profile_id, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS place, p_name AS signal_id, CASE WHEN p_type = 'ECONOMY' THEN ' ' ELSE p_type END AS signal_label, CASE WHEN p_type = 'PROMO' THEN 'insurance-only payer' ELSE p_name END AS prompt_instruction,
+      CASE WHEN p_brand = 'Brand#1' THEN 'n/a' ELSE p_retailprice::VARCHAR END AS positive_weight, CASE p_brand WHEN 'Brand#2' THEN 'Gold' WHEN 'Brand#3' THEN 'Contender' ELSE '' END AS cap_tier, p_name || ' ' || p_type || ' ' || p_brand AS column_label, CASE p_brand WHEN 'Brand#4' THEN 'none' WHEN 'Brand#5' THEN p_name ELSE '' END AS reinforces FROM part"""
+
+
+def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as drafted signals of the profiles that their sizes stand for."""
+    c = F.col
+    brand = lambda n: c("p_brand") == f"Brand#{n}"
+    part = numbered(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "n")
+    return part.select(
+        c("p_size").alias("profile_id"), (c("n") - 1).cast("long").alias("at"), c("p_name").alias("signal_id"), F.when(c("p_type") == "ECONOMY", " ").otherwise(c("p_type")).alias("signal_label"),
+        F.when(c("p_type") == "PROMO", "insurance-only payer").otherwise(c("p_name")).alias("prompt_instruction"), F.when(brand(1), "n/a").otherwise(c("p_retailprice").cast("string")).alias("positive_weight"),
+        F.when(brand(2), "Gold").when(brand(3), "Contender").otherwise("").alias("cap_tier"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("column_label"), F.when(brand(4), "none").when(brand(5), c("p_name")).otherwise("").alias("reinforces"),
+    )
+
+
+@query(
+    f"""
+    WITH d AS ({_DRAFTS}), f AS (SELECT *, min(place) OVER (PARTITION BY profile_id, signal_id) AS first FROM d)
+    SELECT profile_id, place, 'signals[' || place || ']' || m AS message FROM (SELECT profile_id, place, unnest(list_filter([CASE WHEN trim(signal_label) = '' THEN '.signal_label: text is needed' END, CASE WHEN place > first THEN '.signal_id: ' || signal_id || ' is there twice' END,
+      CASE WHEN positive_weight = 'n/a' THEN '.positive_weight: a number is needed' END, CASE WHEN cap_tier = 'Gold' THEN '.cap_tier: not a tier' END, CASE WHEN length(column_label) > 24 THEN '.column_label: more than 24 characters' END,
+      CASE WHEN reinforces <> '' THEN '.reinforces: no other signal of that id' END], lambda x: x IS NOT NULL)) AS m FROM f)"""
+)
+def profile_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the drafted signals of every profile."""
+    return config_tables.signal_faults(_drafts(spark, sf_dir)).withColumnRenamed("at", "place")
+
+
+@query(f"SELECT profile_id, place, signal_id FROM ({_DRAFTS}) WHERE prompt_instruction <> 'insurance-only payer'")
+def inverse_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts without those that say the inverse of how a practice is paid."""
+    return config_tables.without_inverse_billing(_drafts(spark, sf_dir)).select("profile_id", F.col("at").alias("place"), "signal_id")
+
+
+_PROJECTS = "SELECT c_name AS project_id, CASE WHEN c_acctbal < 0 THEN ' ' ELSE c_mktsegment END AS client_name, CASE WHEN c_mktsegment = 'MACHINERY' AND c_acctbal > 5000 THEN '' ELSE c_nationkey::VARCHAR END AS icp_profile_id FROM customer"
+
+
+def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as projects, nations as their profiles."""
+    c = F.col
+    client = F.when(c("c_acctbal") < 0, " ").otherwise(c("c_mktsegment"))
+    profile = F.when((c("c_mktsegment") == "MACHINERY") & (c("c_acctbal") > 5000), "").otherwise(c("c_nationkey").cast("string"))
+    return table(spark, sf_dir, "customer").select(c("c_name").alias("project_id"), client.alias("client_name"), profile.alias("icp_profile_id"))
+
+
+@query(f"SELECT project_id AS project, unnest(list_filter([CASE WHEN trim(client_name) = '' THEN 'client_name: text is needed' END, CASE WHEN icp_profile_id = '' THEN 'icp_profile_id: text is needed' END], lambda x: x IS NOT NULL)) AS message FROM ({_PROJECTS})")
+def project_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every project lacks."""
+    return config_tables.project_faults(_projects(spark, sf_dir))
+
+
+@query(f"SELECT icp_profile_id, count(*) AS n, min(project_id) AS first, max(project_id) AS last FROM ({_PROJECTS}) WHERE icp_profile_id <> '' GROUP BY 1")
+def profile_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many projects use each profile."""
+    return config_tables.profile_usage(_projects(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey, sha256('{"a\\"b": "' || o_orderstatus || '", "key": "' || o_custkey || '", "priority": "' || o_orderpriority || '"}' || chr(10) || 'run ' || o_orderkey) AS fingerprint FROM orders""")
+def run_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of every run's configuration, whatever the order of its keys."""
+    c = F.col
+    put = F.create_map(F.lit("priority"), c("o_orderpriority"), F.lit("key"), c("o_custkey").cast("string"), F.lit('a"b'), c("o_orderstatus"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", config_tables.fingerprint(put, F.concat(F.lit("run "), c("o_orderkey").cast("string"))).alias("fingerprint"))
+
+
 @query(
     """
     SELECT s_suppkey, 'Ann Lee, MD, PHD | Bo' AS cell, CASE WHEN s_suppkey % 2 = 0 THEN 'Location 2 of 3' ELSE '' END AS label, '1 main street' AS street, 'suite 4' AS unit, '4155550001' AS phone, 'bay.com' AS domain, '94110|1 main street|suite 4|4155550001|bay.com|bay heart clinic|' || s_suppkey AS signature, s_suppkey % 2 = 0 AS conflict FROM supplier"""
