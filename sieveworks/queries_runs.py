@@ -1025,6 +1025,16 @@ def run_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", config_tables.fingerprint(put, F.concat(F.lit("run "), c("o_orderkey").cast("string"))).alias("fingerprint"))
 
 
+@query("SELECT c_mktsegment AS run, c_nationkey, count(*) AS n, sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END)::BIGINT AS n_open FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1, 2")
+def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs out of a store of runs, of which only their folders are read (A13); customers are records, segments are runs."""
+    c = F.col
+    path = scratch(spark, "store")
+    table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", c("c_mktsegment").alias("run")).write.partitionBy("run").json(path)
+    rows = readers.run_store(spark, path, "c_custkey long, c_nationkey int, c_acctbal double").where(c("run").isin("BUILDING", "MACHINERY"))
+    return rows.groupBy("run", "c_nationkey").agg(F.count("*").alias("n"), F.count_if(c("c_acctbal") > 0).alias("n_open"))
+
+
 @query(
     """
     SELECT s_suppkey, 'Ann Lee, MD, PHD | Bo' AS cell, CASE WHEN s_suppkey % 2 = 0 THEN 'Location 2 of 3' ELSE '' END AS label, '1 main street' AS street, 'suite 4' AS unit, '4155550001' AS phone, 'bay.com' AS domain, '94110|1 main street|suite 4|4155550001|bay.com|bay heart clinic|' || s_suppkey AS signature, s_suppkey % 2 = 0 AS conflict FROM supplier"""

@@ -173,6 +173,17 @@ def runs(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return found.where("_corrupt_record is null and run_id is not null").drop("_corrupt_record")
 
 
+def run_store(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Rows of a folder of runs, ``root/run=<id>/*.json`` as lines, with ``run``; lines that can't be read go.
+
+    The folder is the partition: a condition on ``run`` is a condition on folders, so no file of another run is opened. Folders
+    whose name is no number stay text.
+    """
+    lines = spark.read.schema("value string, run string").option("basePath", root).text(root)
+    read = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select("run", read.alias("r")).where("r._corrupt_record is null and r is not null").select("r.*", "run").drop("_corrupt_record")
+
+
 def unioned(*frames: DataFrame) -> DataFrame:
     """All rows of all frames; columns that one lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
