@@ -18,6 +18,7 @@ from sieveworks.operators import signals as S
 from sieveworks.plans import enrichment
 from sieveworks.sources import readers
 from sieveworks.streaming import events as stream
+from sieveworks.streaming import jobs
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -552,6 +553,35 @@ def latest_reviews_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows")
 
 
+_SPANS = """WITH w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 6 HOUR AS until FROM events),
+    e AS (SELECT user_id, ts, event_id, event_type, value, until, lag(ts) OVER o AS before, lag(event_type) OVER o AS last FROM events, w WHERE ts <= until WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(CASE WHEN before IS NULL OR last = 'purchase' OR ts - before > INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e),
+    g AS (SELECT user_id, until, min(ts) AS started, max(ts) AS newest, count(*) AS n_events, round(sum(value), 4) AS total, last(event_type ORDER BY ts, event_id) AS last_kind FROM s GROUP BY user_id, n, until)
+    SELECT user_id, started, CASE WHEN last_kind = 'purchase' THEN newest ELSE newest + INTERVAL 12 HOUR END AS ended, n_events, total, last_kind, CASE WHEN last_kind = 'purchase' THEN 'complete' ELSE 'failed' END AS outcome
+    FROM g WHERE last_kind = 'purchase' OR newest + INTERVAL 12 HOUR < until"""
+_WATCH = ("user_id", "ts", "event_id", "event_type", "value", ("purchase",), 12 * 3600, 6 * 3600)
+
+
+@query(_SPANS)
+def job_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's spans of work, ended by a purchase or failed by twelve silent hours."""
+    return jobs.spans(table(spark, sf_dir, "events"), *_WATCH).withColumn("total", F.round("total", 4))
+
+
+@query(_SPANS)
+def job_spans_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spans as a stream with a timer for each job, run to its end."""
+    import uuid
+
+    from sieveworks.operators.graph import shared_folder
+
+    rows = table(spark, sf_dir, "events")
+    path = f"{shared_folder(spark)}/spans-{uuid.uuid4().hex}"
+    live = jobs.watched(stream.source(spark, sf_dir, rows.schema, "events.parquet"), *_WATCH)
+    stream.run_once(live, f"{path}/rows", "append", f"{path}/log")
+    return spark.read.schema(live.schema).parquet(f"{path}/rows/*").withColumn("total", F.round("total", 4))
+
+
 def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with a tier, under the review that the last event of their number stands for."""
     c = F.col

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def source(spark: SparkSession, path: str, schema: str, pattern: str = "*.parquet", files_a_batch: int = 16) -> DataFrame:
+def source(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_a_batch: int = 16) -> DataFrame:
     """Files of a folder, a bounded number in each batch."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
