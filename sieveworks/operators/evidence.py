@@ -88,7 +88,17 @@ def needs_browser(url: Column, text: Column, confidence: Column) -> Column:
     return (strip(url) != "") & ((F.length(strip(text)) < K.LEAST_CONTEXT) | any_of(confidence, ("limited", "failed")))
 
 
-def with_manual_content(records: DataFrame, contents: DataFrame) -> DataFrame:
-    """Records with pasted pages as their context; ``contents`` (position, text) is what one operator pasted."""
+#: Characters that one paste may hold, as it is sent to all tasks.
+PASTED_MOST = 16_000_000
+
+
+def with_manual_content(records: DataFrame, contents: DataFrame, most: int = PASTED_MOST) -> DataFrame:
+    """Records with pasted pages as their context; ``contents`` (position, text) is what one operator pasted.
+
+    Every record gets the whole paste, so one of more than ``most`` characters is an error. Null texts are left out.
+    """
+    size = contents.agg(F.sum(F.length("text") + 7)).first()[0] or 0
+    if size > most:
+        raise ValueError(f"{size} characters were pasted, more than {most}")
     whole = contents.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n\n---\n\n").alias("_all"))
     return records.join(F.broadcast(whole)).withColumns({"context_text": F.col("_all"), "source_confidence": F.lit("partial")}).drop("_all")

@@ -450,8 +450,13 @@ def block_sizes(rows: DataFrame) -> DataFrame:
     return at.union(by).groupBy("path", "size").agg(F.count("*").alias("blocks"))
 
 
-def explained(rows: DataFrame, noise: list[str], shared: list[str]) -> DataFrame:
-    """For all pairs of a small set of rows (one domain's, say): veto, no shared block, or score, path and verdict."""
+def explained(rows: DataFrame, noise: list[str], shared: list[str], most: int = 5000) -> DataFrame:
+    """For all pairs of a small set of rows (one domain's, say): veto, no shared block, or score, path and verdict.
+
+    All pairs are the answer here, so more than ``most`` rows are an error; ``candidates`` is for tables.
+    """
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"pairs are explained for up to {most} rows")
     side = lambda name: rows.select(F.struct("signature", "row", "ident").alias(name))
     pairs = scored(side("a").join(side("b"), F.col("a.row") < F.col("b.row")), noise)
     a, b = F.col("a.ident"), F.col("b.ident")
