@@ -1,10 +1,12 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of each language, trained on text that labels trust.
 
-Symbols are characters folded to an alphabet of SYMBOLS classes; the model is of order 4. Counting covers all trusted text:
-each task sums its grams, sums are sharded by (language, gram), lower orders count distinct predecessors, and the sharded counts
-are joined with the totals of their contexts. What is counted grows with the text, but a language has at most SYMBOLS ** 4
-grams, so its joined table has a proven bound. Tables come to the driver one language at a time and are broadcast one by one; a
-scoring task fetches those of the languages that it meets and holds at most HELD of them, so there is no cap of languages.
+Symbols spell a text without loss: a character up to U+00FF is one, any other has a symbol for each byte of its UTF-8. No two
+texts have the same symbols, so no characters share a count, whatever the script. The model is of order 4.
+Counting covers all trusted text: each task sums its grams, sums are sharded by (language, gram), lower orders count distinct
+predecessors, and the sharded counts are joined with the totals of their contexts. A language's joined table has a row for each
+gram and context that its trusted text holds, not for all that the alphabet allows. Tables come to the driver one language at a
+time and are broadcast one by one; a scoring task fetches those of the languages that it meets and holds at most HELD of them, so
+there is no cap of languages.
 
 A text's score is its bits per symbol, drawn towards the language's mean as PRIOR symbols of average text would; 2 to that
 power is its perplexity. A text goes if its score is over its language's threshold: the QUANTILE of trusted texts' scores. Each
@@ -19,7 +21,6 @@ extra columns are passed through.
 
 from __future__ import annotations
 
-import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -34,59 +35,48 @@ from pyspark.sql import functions as F
 
 from sieveworks.llm.common import materialize
 
-SYMBOLS, ORDER = 40, 4
+SYMBOLS, ORDER = 512, 4
+#: Symbols from BYTES on are bytes of characters beyond U+00FF; START stands before a text and is a byte that UTF-8 never has.
+BYTES, START = 256, 511
 PRIOR, QUANTILE = 60, 0.99
-#: Symbols whose grams are held at once (a longer text is held by itself), languages' tables that a task holds, and symbols after
-#: which a counting task passes on its sums.
-CHUNK, HELD, MOST_COUNTED = 1 << 19, 4, 1 << 30
+#: Symbols whose grams are held at once (a longer text is held by itself), languages' tables that a task holds, and sums of grams
+#: after which a counting task passes them on.
+CHUNK, HELD, MOST_COUNTED = 1 << 19, 4, 1 << 22
 #: Parts into which the grams of a model's order are dealt.
 SALTS = 32
 #: Trusted ids up to this number are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-SPACE, NEWLINE, FIRST_LETTER, OTHER_LETTER, UPPER, DIGIT, FIRST_MARK, OTHER, START = 0, 1, 2, 28, 32, 33, 34, 37, 38
-# Marks that share a symbol.
-MARKS = (".,:;", "!?¡¿", "#*$%&|<>=+@^~\\")
-TABLED = 0x3000
 
 
 def symbol(char: str) -> int:
-    """The symbol of a character."""
-    if char == "\n":
-        return NEWLINE
-    if char.isspace():
-        return SPACE
-    if "a" <= char <= "z":
-        return FIRST_LETTER + ord(char) - ord("a")
-    kind = unicodedata.category(char)
-    if kind in ("Lu", "Lt"):
-        return UPPER
-    if kind[0] == "L":
-        return OTHER_LETTER + ord(char) % (UPPER - OTHER_LETTER)
-    if kind[0] == "N":
-        return DIGIT
-    return next((FIRST_MARK + i for i, marks in enumerate(MARKS) if char in marks), OTHER)
-
-
-_FOLD = np.array([symbol(chr(c)) for c in range(TABLED)], np.int32)
+    """The symbol of a character that has one of its own."""
+    if ord(char) >= BYTES:
+        raise ValueError(f"{char!r} has several symbols")
+    return ord(char)
 
 
 def symbols(text: str) -> np.ndarray:
-    """Symbols of a text; characters beyond TABLED count as letters."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    if not len(points) or points.max() < TABLED:
-        return _FOLD[points]
-    return np.where(points < TABLED, _FOLD[np.minimum(points, TABLED - 1)], OTHER_LETTER + points % (UPPER - OTHER_LETTER)).astype(np.int32)
+    """Symbols of a text."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    if not len(points) or points.max() < BYTES:
+        return points
+    size = 1 + (points >= BYTES) + (points >= 0x800) + (points >= 0x10000)
+    of, size_of = np.repeat(points, size), np.repeat(size, size)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size_of] | of >> 6 * (size_of - 1)
+    later = 0x80 | of >> 6 * (size_of - 1 - at) & 0x3F
+    return np.where(size_of == 1, of, BYTES + np.where(at == 0, lead, later))
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The grams of all texts, each begun with ORDER - 1 starts, and how many each text has."""
-    pad = np.full(ORDER - 1, START, np.int32)
+    pad = np.full(ORDER - 1, START, np.int64)
     parts, sizes = [], []
     for text in texts:
         s = np.concatenate([pad, symbols(text)])
         parts.append(((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:])
         sizes.append(len(s) - ORDER + 1)
-    return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(sizes, np.int64)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(sizes, np.int64)
 
 
 def chunks(texts: pa.Array, at: np.ndarray) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -99,26 +89,32 @@ def chunks(texts: pa.Array, at: np.ndarray) -> Iterator[tuple[np.ndarray, list[s
         start = end
 
 
+def found_at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+    """The values of ``wanted`` among sorted keys."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], default)
+
+
 @dataclass
 class Language:
-    """What one language's model is made of: by order, discounted shares of grams and the weights their contexts leave below."""
+    """What one language's model is made of: by order, discounted shares of grams and the weights their contexts leave below, sorted."""
 
     shares: list[tuple[np.ndarray, np.ndarray]]
     weights: list[tuple[np.ndarray, np.ndarray]]
     mean: float = 0.0
     threshold: float | None = None
 
-    def bits(self) -> np.ndarray:
-        """Bits of every gram of the alphabet."""
-        lower = np.full(1, 1 / SYMBOLS)
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of grams, seen or not."""
+        p = np.full(len(grams), 1 / SYMBOLS)
         for order, ((gram, share), (context, weight)) in enumerate(zip(self.shares, self.weights, strict=True), 1):
-            left = np.ones(SYMBOLS ** (order - 1))
-            left[context] = weight
-            below = np.broadcast_to(lower, (SYMBOLS,)) if order == 1 else lower
-            p = (left.reshape(-1, len(below) // SYMBOLS, 1) * below.reshape(1, -1, SYMBOLS)).reshape(-1)
-            p[gram] += share
-            lower = p
-        return (-np.log2(lower)).astype(np.float32)
+            tail = grams % SYMBOLS**order
+            p = p * found_at(context, weight, tail // SYMBOLS, 1.0) + found_at(gram, share, tail, 0.0)
+        return -np.log2(p)
+
+    def bits(self) -> np.ndarray:
+        """Bits of every symbol after each context that was seen, for inspection."""
+        return self.of((self.weights[-1][0][:, None] * SYMBOLS + np.arange(SYMBOLS)).reshape(-1))
 
 
 @dataclass
@@ -142,34 +138,34 @@ def trusted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataF
 
 
 def count(texts: DataFrame) -> DataFrame:
-    """``lang string, part int, gram int, n long``: how often each gram of order 4 occurs. ``texts`` has ``lang, part, text``."""
+    """``lang string, part int, gram long, n long``: how often each gram of order 4 occurs. ``texts`` has ``lang, part, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, int], np.ndarray] = {}
+        seen: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         counted = 0
 
         def passed_on() -> Iterator[pa.RecordBatch]:
-            for (lang, part), n in seen.items():
-                gram = np.flatnonzero(n)
-                columns = [pa.array([lang] * len(gram)), pa.array(np.full(len(gram), part, np.int32)), pa.array(gram.astype(np.int32)), pa.array(n[gram].astype(np.int64))]
+            for (lang, part), sums in seen.items():
+                codes, gram = pd.factorize(np.concatenate([x for x, _ in sums]))
+                n = np.zeros(len(gram), np.int64)
+                np.add.at(n, codes, np.concatenate([x for _, x in sums]))
+                columns = [pa.array([lang] * len(gram)), pa.array(np.full(len(gram), part, np.int32)), pa.array(gram), pa.array(n)]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "part", "gram", "n"])
             seen.clear()
 
         for batch in batches:
             frame = pd.DataFrame({"lang": batch.column(0).to_pandas(), "part": batch.column(1).to_numpy()})
             for key, at in frame.groupby(["lang", "part"], sort=False).indices.items():
-                if key not in seen and len(seen) >= HELD or counted > MOST_COUNTED:
-                    yield from passed_on()
-                    counted = 0
-                total = seen.setdefault(key, np.zeros(SYMBOLS**ORDER, np.int32))
                 for _, texts in chunks(batch.column(2), at):
-                    found = grams(texts)[0]
-                    kinds, n = np.unique(found, return_counts=True)
-                    total[kinds] += n.astype(np.int32)
-                    counted += len(found)
+                    codes, kinds = pd.factorize(grams(texts)[0])
+                    seen.setdefault(key, []).append((kinds, np.bincount(codes, minlength=len(kinds))))
+                    counted += len(kinds)
+                    if counted > MOST_COUNTED:
+                        yield from passed_on()
+                        counted = 0
         yield from passed_on()
 
-    partial = texts.mapInArrow(run, "lang string, part int, gram int, n long")
+    partial = texts.mapInArrow(run, "lang string, part int, gram long, n long")
     return partial.groupBy("lang", "part", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -201,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     cut = spark.createDataFrame([(r["lang"], r["part"], r["k"], *discounts(r["n1"], r["n2"], r["n3"], r["n4"])) for r in of_counts], "lang string, part int, k int, d1 double, d2 double, d3 double")
     # A language and an order may hold most grams, so their join is salted.
     cut = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = every.withColumns({"context": F.floor(F.col("gram") / SYMBOLS).cast("int"), "salt": F.pmod("gram", F.lit(SALTS))})
+    salted = every.withColumns({"context": F.floor(F.col("gram") / SYMBOLS).cast("long"), "salt": F.pmod("gram", F.lit(SALTS))})
     keyed = salted.join(cut, ["lang", "part", "k", "salt"]).drop("salt")
     keyed = keyed.withColumn("d", F.expr("case when n = 1 then d1 when n = 2 then d2 else d3 end"))
     contexts = keyed.groupBy("lang", "part", "k", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("cut"))
@@ -219,29 +215,33 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def _language(rows: DataFrame, threshold: float | None) -> Language:
-    """One language's model; ``rows`` are at most 2 * SYMBOLS ** ORDER."""
+    """One language's model; ``rows`` are its grams and contexts of all orders."""
     found = rows.select("k", "gram", "value", "n").toArrow()
     k, gram, value, n = (found.column(c).to_numpy() for c in ("k", "gram", "value", "n"))
-    of = lambda order: (gram[k == order], value[k == order])
+
+    def of(order: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(k == order)
+        at = at[np.argsort(gram[at])]
+        return gram[at], value[at]
+
     one = Language([of(i) for i in range(1, ORDER + 1)], [of(-i) for i in range(1, ORDER + 1)], threshold=threshold)
     top = n[k == ORDER].astype(float)
-    one.mean = float((one.bits()[gram[k == ORDER]] * top).sum() / top.sum())
+    one.mean = float((one.of(gram[k == ORDER]) * top).sum() / top.sum())
     return one
 
 
 class Tables:
-    """Bits, means and thresholds of the languages that a task used last; they go with the task."""
+    """Models of the languages that a task used last; they go with the task."""
 
     def __init__(self, shared: Mapping[str, Broadcast]):
         self.shared, self.held = shared, OrderedDict()
 
-    def get(self, name: str) -> tuple[np.ndarray, float, float | None]:
+    def get(self, name: str) -> Language:
         found = self.held.pop(name, None)
         if found is None:
             if len(self.held) >= HELD:
                 self.held.popitem(last=False)
-            known = self.shared[name].value
-            found = known.bits(), known.mean, known.threshold
+            found = self.shared[name].value
             self.shared[name].__dict__.pop("_value", None)  # or the worker would keep every language that it ever met
         self.held[name] = found
         return found
@@ -254,14 +254,15 @@ class Tables:
         for code, name in enumerate(coded.dictionary.to_pylist()):
             if name not in self.shared:
                 continue
-            table, mean, threshold = self.get(name)
+            known = self.get(name)
             every = np.flatnonzero(codes == code)
-            limit[every] = np.nan if threshold is None else threshold
+            limit[every] = np.nan if known.threshold is None else known.threshold
             for rows, texts in chunks(text, every):
                 found, sizes = grams(texts)
-                sums = np.concatenate([[0.0], np.cumsum(table[found], dtype=float)])
+                at, kinds = pd.factorize(found)
+                sums = np.concatenate([[0.0], np.cumsum(known.of(kinds)[at])])
                 ends = np.cumsum(sizes)
-                out[rows] = (sums[ends] - sums[ends - sizes] + PRIOR * mean) / (sizes + PRIOR)
+                out[rows] = (sums[ends] - sums[ends - sizes] + PRIOR * known.mean) / (sizes + PRIOR)
         return pa.StructArray.from_arrays([pa.array(x, mask=np.isnan(x)) for x in (out, limit)], ["bits", "threshold"])
 
 
