@@ -41,7 +41,9 @@ BYTES, START = 256, 511
 PRIOR, QUANTILE = 60, 0.99
 #: Symbols whose grams are held at once (a longer text is held by itself), languages' tables that a task holds, and sums of grams
 #: after which a counting task passes them on.
-CHUNK, HELD, MOST_COUNTED = 1 << 19, 4, 1 << 22
+CHUNK, HELD, MOST_COUNTED = 1 << 18, 4, 1 << 20
+#: Different grams that a part is thought to have: pandas would make room for as many as there are symbols.
+KINDS = 1 << 14
 #: Parts into which the grams of a model's order are dealt.
 SALTS = 32
 #: Trusted ids up to this number are broadcast; beyond, they are joined by a shuffle.
@@ -157,7 +159,7 @@ def count(texts: DataFrame) -> DataFrame:
             frame = pd.DataFrame({"lang": batch.column(0).to_pandas(), "part": batch.column(1).to_numpy()})
             for key, at in frame.groupby(["lang", "part"], sort=False).indices.items():
                 for _, texts in chunks(batch.column(2), at):
-                    codes, kinds = pd.factorize(grams(texts)[0])
+                    codes, kinds = pd.factorize(grams(texts)[0], size_hint=KINDS)
                     seen.setdefault(key, []).append((kinds, np.bincount(codes, minlength=len(kinds))))
                     counted += len(kinds)
                     if counted > MOST_COUNTED:
@@ -211,6 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     scored = base.select("lang", F.round(score(halves)(other, F.col("text")).bits, 3).alias("bits")).where("bits is not null")
     counted = scored.groupBy("lang", "bits").agg(F.count("*").alias("n"))
     limits = {r["lang"]: r["limit"] for r in counted.groupBy("lang").agg(F.expr(f"percentile(bits, {quantile}, n)").alias("limit")).collect()}  # a row for each language
+    for one in halves.shared.values():
+        one.destroy()
     return Model({lang: shared(lang, part, limits.get(lang)) for lang, part in names if not part})
 
 
@@ -259,7 +263,7 @@ class Tables:
             limit[every] = np.nan if known.threshold is None else known.threshold
             for rows, texts in chunks(text, every):
                 found, sizes = grams(texts)
-                at, kinds = pd.factorize(found)
+                at, kinds = pd.factorize(found, sort=True, size_hint=KINDS)
                 sums = np.concatenate([[0.0], np.cumsum(known.of(kinds)[at])])
                 ends = np.cumsum(sizes)
                 out[rows] = (sums[ends] - sums[ends - sizes] + PRIOR * known.mean) / (sizes + PRIOR)
