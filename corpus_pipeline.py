@@ -33,7 +33,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, Jaccard similarity 0.8; rows with a null id stay."""
+    """One document of each group of near duplicates: SimHash and MinHash over five-word shingles, Jaccard similarity 0.8; rows with a null id stay."""
     return jaccard.dedupe(docs)
 
 

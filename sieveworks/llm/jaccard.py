@@ -1,14 +1,17 @@
-"""Near duplicates by the Jaccard similarity of five-word shingles: MinHash bands find candidates, whole shingle sets verify them.
+"""Near duplicates by SimHash, verified by the Jaccard similarity of five-word shingles; MinHash bands add what SimHash's radius misses.
 
-Texts with equal sets are one class from the start, so copies are never paired. A class has BANDS keys of ROWS minima each; a
-pair of similarity s shares none with probability (1 - s ** ROWS) ** BANDS, 2.6e-5 at the least similarity that links and less
-above it. Buckets with the same classes are one bucket. A bucket gets its classes' texts and yields a spanning forest of the
-links, not its pairs; a link is a similarity of at least SIMILARITY, computed from both sets. Components are those of ``simhash``.
+Texts with equal sets of shingles are one class from the start, so copies are never paired. A class has a SimHash fingerprint of
+its different shingles and a key for each covering mask of ``simhash``: classes within ``simhash.RADIUS`` bits share a bucket,
+whatever the data. A link is a similarity of at least SIMILARITY, computed from both whole sets. Most pairs of similarity 0.8 differ
+in more bits than a covering family can reach (see README), so a class has BANDS MinHash keys of ROWS minima besides: a pair of
+similarity s that is beyond the radius shares none with probability (1 - s ** ROWS) ** BANDS, 2.6e-5 at the least similarity that
+links and less above it. Buckets with the same classes are one bucket. A bucket gets its classes' texts and yields a spanning forest
+of the links, not its pairs. Components are those of ``simhash``.
 
 No task gets more than MOST shingles of a bucket, but for single texts that are longer:
 
-- classes of a crowded bucket are dealt again by a second, finer family of bands (a pair at the least similarity shares none with
-  probability 2.8e-5), which parts texts that have only a template in common;
+- classes of a crowded bucket are dealt again by a second covering family and by finer bands (a pair at the least similarity and
+  beyond the radius shares none with probability 2.8e-5), which part texts that have only a template in common;
 - what is crowded there is dealt in cells, and each text is compared with the bucket's least class. Near copies end here. Texts that
   are not near it are compared with all texts of the bucket, a block of them and a cell at a time, so no link is lost; that is
   quadratic only in texts that agree on many minima and yet are not alike.
@@ -38,6 +41,9 @@ FINE_BANDS, FINE_ROWS = 57, 8
 #: Shingles of a bucket that one task takes.
 MOST = 1 << 20
 _DRAWN = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Two covering families of masks for fingerprints, the second for crowded buckets, and what makes keys of them.
+_MASKS, _FINE_MASKS = (np.array(simhash.masks(seed=x), np.int64).view(np.uint64) for x in simhash.FAMILIES[:2])
+_COVER = np.random.default_rng(44).integers(0, 1 << 63, (2, len(_MASKS)), np.uint64) * np.uint64(2) + np.uint64(1)
 _FINE = np.random.default_rng(43).integers(0, 1 << 63, (2, FINE_BANDS * FINE_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles whose values under all hash functions are held at once.
 CHUNK = 1024
@@ -64,6 +70,14 @@ def bands(found: np.ndarray, drawn: np.ndarray = _DRAWN, rows: int = ROWS) -> np
     return (least * drawn[1]).reshape(-1, rows).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def cover(found: np.ndarray, masks: np.ndarray = _MASKS) -> np.ndarray:
+    """The keys of a set's fingerprint: one for each covering mask, none for the empty set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    fingerprint = np.int64(simhash.majority(found)).view(np.uint64)
+    return (((fingerprint & masks) ^ _COVER[0]) * _COVER[1]).view(np.int64)
+
+
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sets link."""
     low, high = SIMILARITY
@@ -72,18 +86,18 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp, t, size long, bands array<long>``, a row for each row of ``docs``; ``fp`` is the class, ``t`` tells texts apart."""
+    """``doc_id, fp, t, size long, keys array<long>``, a row for each row of ``docs``; ``fp`` is the class, ``t`` tells texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x.as_py()) for x in batch.column(2)]
-            keys = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
+            keys = pa.array([np.concatenate([cover(x), bands(x)]) for x in sets], pa.list_(pa.int64()))
             fp = pa.array([name(x) for x in sets], pa.int64())
             size = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp, batch.column(1), size, keys], names=["doc_id", "fp", "t", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, batch.column(1), size, keys], names=["doc_id", "fp", "t", "size", "keys"])
 
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("t"), docs[text].cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long, t long, size long, bands array<long>")
+    return source.mapInArrow(run, "doc_id long, fp long, t long, size long, keys array<long>")
 
 
 def forest(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -137,10 +151,11 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of the finer family for rows ``fp, t, size, text``."""
+    """The keys of the finer families for rows ``fp, t, size, text``."""
     for batch in batches:
-        keys = pa.array([bands(shingle_set(x.as_py()), _FINE, FINE_ROWS) for x in batch.column(3)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], keys], names=["fp", "t", "size", "bands"])
+        sets = [shingle_set(x.as_py()) for x in batch.column(3)]
+        keys = pa.array([np.concatenate([cover(x, _FINE_MASKS), bands(x, _FINE, FINE_ROWS)]) for x in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], keys], names=["fp", "t", "size", "keys"])
 
 
 def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +217,7 @@ def _in_cells(members: DataFrame, texts: DataFrame, most: int) -> DataFrame:
 
 def links(docs: DataFrame, sketched: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = MOST) -> DataFrame:
     """Edges ``a, b`` between classes that connect those which links within buckets connect."""
-    classes = sketched.groupBy("fp").agg(F.min(F.struct("t", "size", "bands")).alias("of")).select("fp", "of.t", "of.size", F.explode("of.bands").alias("key"))
+    classes = sketched.groupBy("fp").agg(F.min(F.struct("t", "size", "keys")).alias("of")).select("fp", "of.t", "of.size", F.explode("of.keys").alias("key"))
     members = _members(materialize(classes, "cells"), most)
     edges = _forests(members.where("not crowded"), _texts(docs, members.where("not crowded"), text, doc_id))
     crowded = members.where("crowded")
@@ -210,8 +225,8 @@ def links(docs: DataFrame, sketched: DataFrame, text: str = "text", doc_id: str
         return edges
     again = crowded.select("fp", "t", "size").distinct()
     texts = materialize(_texts(docs, again, text, doc_id), "crowded")
-    finer = again.join(texts, "t").select("fp", "t", "size", "_text").mapInArrow(_finer, "fp long, t long, size long, bands array<long>")
-    members = _members(materialize(finer.select("fp", "t", "size", F.explode("bands").alias("key")), "cells"), most)
+    finer = again.join(texts, "t").select("fp", "t", "size", "_text").mapInArrow(_finer, "fp long, t long, size long, keys array<long>")
+    members = _members(materialize(finer.select("fp", "t", "size", F.explode("keys").alias("key")), "cells"), most)
     edges = edges.union(_forests(members.where("not crowded"), texts))
     crowded = members.where("crowded")
     return edges if crowded.isEmpty() else edges.union(_in_cells(crowded, texts, most))

@@ -60,7 +60,11 @@ def shingles(raw: bytes | None, words: int = SHINGLE_WORDS) -> np.ndarray:
 
 def fingerprint(raw: bytes | None, words: int = SHINGLE_WORDS) -> int:
     """The fingerprint of a text in UTF-8, as a signed 64-bit number."""
-    hashes = shingles(raw, words)
+    return majority(shingles(raw, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes."""
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
