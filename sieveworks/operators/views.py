@@ -190,9 +190,14 @@ def link_report(links: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def evidence_links(records: DataFrame) -> DataFrame:
-    """``id, signal_id, url``: sources of confirmed signals in the two tiers that are called."""
-    called = records.where(any_of(F.col("displayed_tier"), (K.BULLSEYE, K.CONTENDER)))
-    return called.select("id", F.explode("signals").alias("s")).where("s.signal_state = 'yes' and s.source_url <> ''").select("id", "s.signal_id", F.col("s.source_url").alias("url"))
+    """``id, signal_id, url``: sources of confirmed signals in the two tiers that are called.
+
+    What is not told is taken out of the list before it is dealt: a condition on rows would be moved down and judge every record's tier
+    again from its response, for each place where the tier looks at signals.
+    """
+    called = any_of(F.col("displayed_tier"), (K.BULLSEYE, K.CONTENDER))
+    told = F.filter(F.when(called, F.col("signals")), lambda s: (s.signal_state == "yes") & (s.source_url != ""))
+    return records.select("id", F.explode(told).alias("s")).select("id", "s.signal_id", F.col("s.source_url").alias("url"))
 
 
 def refreshed(old: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:

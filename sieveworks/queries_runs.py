@@ -1128,7 +1128,8 @@ def link_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = F.col
     rows = _tiered(spark, sf_dir).select(c("o_orderkey").cast("string").alias("id"), "signals", c("t.tier").alias("displayed_tier"))
-    checked = spark.createDataFrame([("https://example.com/a", "FLAG"), ("https://example.com/b", "OK")], "url string, verdict string")
+    # Made by Spark, so that its size is known: all records share a link, which a shuffle would deal to one task.
+    checked = spark.sql("VALUES ('https://example.com/a', 'FLAG'), ('https://example.com/b', 'OK') AS t(url, verdict)")
     return views.link_report(views.evidence_links(rows), checked).select("id", "signal_id", "url", "verdict")
 
 
