@@ -115,6 +115,24 @@ def what_ifs(records: DataFrame, defs: Sequence[S.SignalDef], states: Sequence[s
     return scored(rows, defs)
 
 
+def best_changes(records: DataFrame, key: str, defs: Sequence[S.SignalDef], states: Sequence[str] = K.STATES) -> DataFrame:
+    """``key, changed_signal, changed_state, score, lift``: of each record's ``what_ifs`` the one of the highest fit score, of equal ones the
+    first by signal and state; and what it adds to the record's own score.
+
+    Scores follow from ids, states and confidences alone, so every such answer is simulated once, and the records that gave it meet
+    it in a join. Records without signals are like those with none.
+    """
+    said = F.transform(F.coalesce("signals", F.array().cast(f"array<{S.SIGNAL}>")), lambda s: F.struct(s.signal_id.alias("signal_id"), s.signal_state.alias("signal_state"), s.confidence.alias("confidence")))
+    rows = written(records.select(key, said.alias("answer")), "answers")
+    fields = [f.split(":") for f in S.SIGNAL[len("struct<") : -1].split(",")]
+    whole = F.transform("answer", lambda a: F.struct(*[(a[f] if f in ("signal_id", "signal_state", "confidence") else F.lit(None).cast(kind)).alias(f) for f, kind in fields]))
+    own = scored(rows.select("answer").distinct().withColumn("signals", whole), defs).select("answer", "signals", F.col("fit_signal_score").alias("own"))
+    order = F.struct((-F.col("fit_signal_score")).alias("s"), F.col("changed_signal").alias("id"), F.col("changed_state").alias("st"))
+    best = what_ifs(own, defs, states).groupBy("answer").agg(F.min(order).alias("b"), F.min("own").alias("own"))
+    best = best.select("answer", F.col("b.id").alias("changed_signal"), F.col("b.st").alias("changed_state"), (-F.col("b.s")).alias("score"), (-F.col("b.s") - F.col("own")).alias("lift"))
+    return rows.join(written(best, "changes"), "answer").select(key, "changed_signal", "changed_state", "score", "lift")
+
+
 def discovered(rows: DataFrame, entries: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classified rows with reasons, counts by class, the registry as it would be)."""
     from sieveworks.operators.registry import preview
