@@ -59,11 +59,11 @@ def reextracted(records: DataFrame, responses: DataFrame, defs: Sequence[S.Signa
     from sieveworks.plans import enrichment
 
     rows = enrichment.shaped(records)
-    again = rows.where(reextractable()).join(responses.select("id"), "id", "left_semi")
-    again = again.withColumns({"exclusion_status": F.lit("CLEAR"), "exclusion_reason": F.lit(None).cast("string"), "target_tier": F.lit("")})
-    done = written(rules.finalized(rules.decided(enrichment.scored(enrichment.signalled(again, responses, defs), defs), config)), "reextracted")
-    kept = rows.join(done.select("id"), "id", "left_anti")
-    return kept.unionByName(done, allowMissingColumns=True), metrics.transitions(records.join(done.select("id"), "id", "left_semi"), done)
+    again = rows.where(reextractable()).withColumns({"exclusion_status": F.lit("CLEAR"), "exclusion_reason": F.lit(None).cast("string"), "target_tier": F.lit("")})
+    done = written(rules.finalized(rules.decided(enrichment.scored(enrichment.signalled(again, responses, defs, "inner"), defs), config)), "reextracted")
+    # A written table is packed: by its size, Spark would gather all of its ids on the driver and send them to every task.
+    kept = rows.join(done.select("id").hint("merge"), "id", "left_anti")
+    return kept.unionByName(done, allowMissingColumns=True), metrics.transitions(records, done.hint("merge"))
 
 
 def reenriched(records: DataFrame, new: DataFrame) -> DataFrame:

@@ -56,10 +56,13 @@ def scored(records: DataFrame, defs: Sequence[S.SignalDef]) -> DataFrame:
     return out.withColumns({"fit_confidence_status": S.quadrant(F.col("fit_signal_score"), F.col("confidence_score")), "confidence_band": S.band(F.col("confidence_score"))})
 
 
-def signalled(records: DataFrame, responses: DataFrame, defs: Sequence[S.SignalDef]) -> DataFrame:
-    """Records with signals: unknown where there is too little text, else from ``responses`` (id, response), cleaned."""
+def signalled(records: DataFrame, responses: DataFrame, defs: Sequence[S.SignalDef], how: str = "left") -> DataFrame:
+    """Records with signals: unknown where there is too little text, else from ``responses`` (id, response), cleaned.
+
+    ``how`` joins them: by ``inner``, records without a response go.
+    """
     thin = F.length(strip(F.col("context_text"))) < K.LEAST_CONTEXT
-    both = records.drop("signals").join(responses.select("id", F.col("response").cast(S.RESPONSE).alias("_response")), "id", "left")
+    both = records.drop("signals").join(responses.select("id", F.col("response").cast(S.RESPONSE).alias("_response")), "id", how)
     both = both.withColumn("_entries", F.coalesce("_response", F.array().cast(S.RESPONSE)))
     status = F.when(thin | F.col("_response").isNotNull(), "complete").otherwise("failed")
     return both.withColumns({"signals": F.when(thin, S.empty(defs)).otherwise(S.cleaned("_entries", defs)), "enrichment_status": status}).drop("_response", "_entries")
